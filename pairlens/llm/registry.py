@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pairlens.llm import packing, quality
+from pairlens.llm import packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_warc_normaliser": warc.op1_warc_normaliser,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_warc_normaliser": warc.OP1_SQL,
+}
