@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pairlens.llm import packing, quality, simhash, warc
+from pairlens.llm import linededup, mixing, packing, quality, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_suffix_array_dedup": suffixdedup.op5_suffix_array_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_temperature_mixing": mixing.op8_temperature_mixing,
 }
 
 ORACLE_SQL = {
     "op1_warc_normaliser": warc.OP1_SQL,
+    "op2_line_dedup": linededup.OP2_SQL,
+    "op8_temperature_mixing": mixing.OP8_SQL,
 }

@@ -219,6 +219,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return keyed_join(prints, ids, "fp", prints.count(), spread=F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs with one document of each group, that of the smallest doc_id; all columns are kept.
+
+    A document without a doc_id can't be told from others, so it always stays.
+    """
+    rows = near_duplicates(docs, shingle)
+    t = Tables(docs.sparkSession)
+    keep = t.write(rows.where("doc_id = component_id").select(F.col("doc_id").alias("__id")), "kept")
+    again = not keep.groupBy("__id").count().where("count > 1").isEmpty()
+    named = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["__id"], "left_semi")
+    if again:  # a doc_id that is there twice still stands for one document
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
