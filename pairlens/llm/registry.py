@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairlens.llm import embeddings, linededup, mixing, packing, quality, simhash, suffixdedup, warc
+from pairlens.llm import embeddings, linededup, mixing, packing, pii, quality, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
+    "op9_contextual_pii": pii.op9_contextual_pii,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
