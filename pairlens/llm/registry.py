@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlens.llm import embeddings, linededup, mixing, packing, pii, quality, simhash, suffixdedup, warc
+from pairlens.llm import embeddings, linededup, lmscore, mixing, packing, pii, quality, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -10,6 +10,7 @@ QUERIES = {
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_recurrent_lm": lmscore.op4_recurrent_lm,
     "op5_suffix_array_dedup": suffixdedup.op5_suffix_array_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
