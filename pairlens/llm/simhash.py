@@ -4,13 +4,15 @@ A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits.  The binary
 Golay code is perfect: every 23-bit word is within 3 bits of exactly one of
 4096 codewords.  A segment's keys are the codewords nearest to the words of its
 1-bit ball (one or six of them), so two segments that differ in at most 2 bits
-share a key.  With at most 3 differing bits in all, by the pigeonhole
-principle either the first two segments differ in at most 2 bits each, or one
-of them has all 3 and the two other segments are equal.  That gives the keys
+share a key.  The third segment's halves are D and E.  By the pigeonhole
+principle the at most 3 differing bits leave one of these keys in common:
 
-    (code of A, code of B)    (A, C)    (B, C)
+    (A, code of B)  (code of A, B)    A or B is equal, the other differs in 2 bits at most
+    (code of A, code of B, D or E)    neither is equal, so C has 1 differing bit at most
+    (A, C)  (B, C)                    all 3 bits are in one segment
 
-and no link is missed.  Rows of equal fingerprints are one from the start.
+and no link is missed.  Every key has 33 bits or more, so that few texts share
+one by chance.  Rows of equal fingerprints are one from the start.
 Rows of one key are compared with XOR and a bit count, in cells of at most two
 blocks of BLOCK fingerprints however many share the key, and a cell gives back
 a spanning forest of its links, not its pairs.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pairlens.llm.common import Tables, components, ids_and_text, keyed_join
 
 BITS, SEED, RADIUS = 64, 42, 3
-BLOCK = 2048
+BLOCK, LOCAL = 2048, 4
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the binary Golay code.
 GENERATOR = 0b110001110101
 
@@ -117,19 +119,53 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i = np.repeat(np.arange(len(ra)), each)
     j = first[ra[i]] + np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
     rows = np.arange(len(fp))
-    return np.concatenate([ra[i], rows, rows]), np.concatenate([(ka[i] << 12) | kb[j], (1 << 60) | (a << 18) | c, (2 << 60) | (b << 18) | c])
+    ab = (ka[i] << 12) | kb[j]
+    kinds = [(ra[i], (ab << 9) | (c & 511)[ra[i]]), (ra[i], (ab << 9) | (c >> 9)[ra[i]]), (rb, (a[rb] << 12) | kb), (ra, (b[ra] << 12) | ka), (rows, (a << 18) | c), (rows, (b << 18) | c)]
+    return np.concatenate([r for r, _ in kinds]), np.concatenate([(t << 60) | k for t, (_, k) in enumerate(kinds)])
 
 
-def _keyed(fps: DataFrame) -> DataFrame:
+def keys_table(rows: DataFrame, make, schema: str) -> DataFrame:
+    """make(batch) yields batches of keyed rows, key first, for each batch of rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column("fp").to_numpy()
-            for at in range(0, len(fp), 20_000):
-                part = np.ascontiguousarray(fp[at : at + 20_000])
-                row, key = keys_of(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
+            yield from make(b)
+
+    return rows.mapInArrow(run, schema)
+
+
+def large_keys(rows: DataFrame, make) -> DataFrame:
+    """(key, n) of the keys with more than BLOCK rows, or nearly so, and a lower bound of how many they have.
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    Tasks count for themselves and tell only of keys that they saw LOCAL times
+    or more, so next to nothing is shuffled.  A key that no task saw so often
+    has fewer than LOCAL rows for each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[n >= LOCAL].astype(np.int64)), pa.array(n[n >= LOCAL].astype(np.int64))], names=["key", "n"])
+
+        for b in batches:
+            held += [x.column(0).to_numpy() for x in make(b)]
+            if sum(map(len, held)) > 4_000_000:
+                yield out()
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+
+
+def _keyed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    fp = b.column("fp").to_numpy()
+    for at in range(0, len(fp), 20_000):
+        part = np.ascontiguousarray(fp[at : at + 20_000])
+        row, key = keys_of(part)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,39 +204,56 @@ def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
     return forest(*map(np.concatenate, zip(*found, strict=True))) if found else (fp[:0], fp[:0])
 
 
-def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect the fingerprints fp as links of at most radius (3 or less) bits do."""
-    t = Tables(spark)
-    keyed = t.write(_keyed(fps), "keys")
-    counts = t.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    cells = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    rows = keyed.join(counts, "key").withColumn("g", cells).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    grouped = rows.repartition(int(parts), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+def cells(keyed: DataFrame, counts: DataFrame, own: str) -> DataFrame:
+    """keyed with i and j: rows of a key with more than BLOCK rows (in counts) are dealt over blocks by a hash of own, and meet in every pair of blocks."""
+    few = counts.count()
+    if not few:
+        return keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    hint = F.broadcast(counts) if few <= 100_000 else counts
+    rows = keyed.join(hint, "key", "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(own), F.col("g")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "g", "own", "other")
+
+
+def by_cell(rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
+    """found(cell, *columns) over whole cells, a batch of them at a time; cell numbers them, rows of a cell are next to each other."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.select("key", "i", "j", *columns).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
             new = np.ones(len(cols[0]), bool)
             new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-            a, b = links_within(np.cumsum(new), cols[3], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return found(np.cumsum(new), *[np.ascontiguousarray(c) for c in cols[3:]])
 
         kept: list[np.ndarray] | None = None
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("key", "i", "j", "fp")]
+            cols = [b.column(c).to_numpy() for c in ("key", "i", "j", *columns)]
             cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-            cut = int(np.argmax(last)) if last.any() else len(last)
+            cut = int(np.argmax(last))
             kept = [c[cut:] for c in cols]
             if cut:
-                yield out([np.ascontiguousarray(c[:cut]) for c in cols])
+                yield out([c[:cut] for c in cols])
         if kept is not None and len(kept[0]):
-            yield out([np.ascontiguousarray(c) for c in kept])
+            yield out(kept)
+
+    return grouped.mapInArrow(run, schema)
+
+
+def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints fp as links of at most radius (3 or less) bits do."""
+    t = Tables(spark)
+    own = fps.select("fp")
+    large = t.write(large_keys(own, _keyed), "large")
+    keyed = keys_table(own, _keyed, "key long, fp long")
 
-    edges = t.write(grouped.mapInArrow(run, "a long, b long"), "links")
-    t.drop(keyed, counts)
+    def found(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = links_within(cell, fp, radius)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    edges = t.write(by_cell(cells(keyed, large, "fp"), ["fp"], found, "a long, b long"), "links")
+    t.drop(large)
     return edges
 
 
@@ -219,21 +272,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return keyed_join(prints, ids, "fp", prints.count(), spread=F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; all columns are kept.
-
-    A document without a doc_id can't be told from others, so it always stays.
-    """
-    rows = near_duplicates(docs, shingle)
-    t = Tables(docs.sparkSession)
-    keep = t.write(rows.where("doc_id = component_id").select(F.col("doc_id").alias("__id")), "kept")
-    again = not keep.groupBy("__id").count().where("count > 1").isEmpty()
-    named = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["__id"], "left_semi")
-    if again:  # a doc_id that is there twice still stands for one document
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
-
-
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
