@@ -14,7 +14,7 @@ M, EF, EF_BUILD, EXPAND, LANES = 16, 32, 48, 4, 512
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, width: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+    order = np.argsort(-sims, axis=1)[:, :width]
     return tuple(np.take_along_axis(x, order, 1) for x in (ids, sims, *more))
 
 
@@ -127,7 +127,7 @@ class Graph:
 
     def _layer(self, n: int, width: int) -> np.ndarray:
         """A layer over the first n nodes; the layers so far lie above it."""
-        x, edges = self.x, np.full((n, width), -1, np.int64)
+        x, edges = self.x, np.full((n, width), -1, np.int32)
         size = min(n, 64)
         if size > 1:
             s = x[:size] @ x[:size].T
@@ -179,11 +179,11 @@ class Graph:
         return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
 
     def audit(self, least: float, want: float, sample: int = 256) -> float:
-        """Widens the beam until the search finds the share want of the sample's pairs that brute force finds; returns that share."""
+        """Widens the beam until the search finds the share want of what brute force finds for a sample: pairs of least or more, and nearest neighbours.  Returns the share of pairs."""
         if not len(self.x):
             return 1.0
         q = np.unique(np.linspace(0, len(self.x) - 1, min(sample, len(self.x))).astype(np.int64))
-        best = 10
+        best = 2  # itself and its nearest neighbour
         s = self.x[q] @ self.x.T
         top = np.argpartition(-s, min(best, s.shape[1] - 1), axis=1)[:, :best] if s.shape[1] > best else np.tile(np.arange(s.shape[1]), (len(q), 1))
         truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= least), strict=True)}
@@ -199,11 +199,11 @@ class Graph:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, ids=self.ids, ef=self.ef, **{f"m_{k}": v for k, v in self.more.items()}, **{f"l{i}": e.astype(np.int32) for i, e in enumerate(self.layers)})
+        np.savez(out, x=self.x, ids=self.ids, ef=self.ef, **{f"m_{k}": v for k, v in self.more.items()}, **{f"l{i}": e for i, e in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
         layers = sum(k[0] == "l" for k in z.files)
-        return cls(z["x"], z["ids"], [z[f"l{i}"].astype(np.int64) for i in range(layers)], int(z["ef"]), **{k[2:]: z[k] for k in z.files if k.startswith("m_")})
+        return cls(z["x"], z["ids"], [z[f"l{i}"] for i in range(layers)], int(z["ef"]), **{k[2:]: z[k] for k in z.files if k.startswith("m_")})
