@@ -14,8 +14,8 @@ import numpy as np
 
 HIDDEN, CLASSES, WIDTH = 16, 32, 32
 WORDS = CLASSES * WIDTH
-WINDOW, LANES, TRAIN_LANES = 16, 512, 96
-RATE = 0.1
+WINDOW, LANES, TRAIN_LANES = 16, 512, 384
+RATE = 0.2
 
 
 def init(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
@@ -60,6 +60,11 @@ def in_lanes(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
     return target, previous, document
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """By exp, which numpy has at a third of tanh's cost."""
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
@@ -75,10 +80,10 @@ def _forward(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray, keep
         if fresh.any():
             h = np.where(fresh[:, None], np.float32(0), h)
         gh = h @ p["u"]
-        zr = 0.5 * np.tanh(0.5 * (gx[t, :, :n2] + gh[:, :n2])) + 0.5
+        zr = _sigmoid(gx[t, :, :n2] + gh[:, :n2])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         hn = gh[:, n2:]
-        n = np.tanh(gx[t, :, n2:] + r * hn)
+        n = 2 * _sigmoid(2 * (gx[t, :, n2:] + r * hn)) - 1
         new = n + z * (h - n)
         if keep is not None:
             keep.append((h, z, r, n, hn, fresh))

@@ -83,7 +83,8 @@ class Vocabulary:
         frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
         top = frequent[:RARE]
         self.tokens, self.distinct = tokens, distinct
-        self.table = {w: (c, i if i < RARE else RARE) for i, (w, c) in enumerate(frequent)}
+        self.rank = {w: i for i, (w, _) in enumerate(frequent)}
+        self.count = np.asarray([c for _, c in frequent] + [0], np.int64)  # the last stands for a word that isn't there
         self.top_tokens, self.top = sum(c for _, c in top), len(top)
         self.counts = np.zeros(gru.WORDS)
         self.counts[: len(top)] = [c for _, c in top]
@@ -98,9 +99,17 @@ class Vocabulary:
     def base_log(self) -> float:
         return math.log10(self.tokens + self.distinct + 1)
 
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """By frequency from 0 on; -1 for words that the table lacks."""
+        get = self.rank.get
+        return np.fromiter([get(w, -1) for w in words], np.int32, len(words))
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, none = self.table.get, (0, RARE)
-        return np.fromiter((get(w, none)[1] for w in words), np.int32, len(words))
+        return network_numbers(self.ranks(words))
+
+
+def network_numbers(ranks: np.ndarray) -> np.ndarray:
+    return np.where((ranks < 0) | (ranks > RARE), np.int32(RARE), ranks)
 
 
 def _train(docs: DataFrame, vocabulary, start) -> DataFrame:
@@ -151,17 +160,15 @@ def _scored(docs: DataFrame, vocabulary, model) -> DataFrame:
 
         v, p = vocabulary.value, model.value
         number = TaskContext.get().partitionId() << 33
-        table = v.table
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
             docs_, rows, words, times = [], [], [], []
             stats = []
             for k, text in enumerate(texts):
                 ws = words_of(text)
-                got = [table.get(w) for w in ws]
-                missing = Counter(w for w, g in zip(ws, got, strict=True) if g is None)
-                c = np.fromiter((0 if g is None else g[0] for g in got), np.int64, len(ws))
-                y = np.fromiter((RARE if g is None else g[1] for g in got), np.int32, len(ws))
+                ranks = v.ranks(ws)
+                missing = Counter(ws[i] for i in np.flatnonzero(ranks < 0).tolist())
+                c, y = v.count[ranks], network_numbers(ranks)
                 lg = np.log10(c + 1.0)
                 rare = y == RARE
                 docs_.append(y)
