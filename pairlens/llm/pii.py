@@ -124,7 +124,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _followed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: pattern.  How often each is followed by a token in all texts (a name within a token always is)."""
+    """wanted: pattern.  How often each is followed by a token in all texts."""
     tokens = F.split(F.lower("text"), f"[{SPACE}]+", -1)
     rows = docs.select(F.filter(tokens, lambda x: x != "").alias("t")).where("size(t) > 1")
     firsts = F.slice("t", F.lit(1), F.size("t") - 1)
@@ -139,10 +139,12 @@ def discover(docs: DataFrame, spans: DataFrame, t: Tables) -> DataFrame:
     """(doc_id, hash, start, end) of the spans that confident patterns vouch for."""
     seen = t.write(occurrences(spans).select("doc_id", "hash", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern")), "occurrences")
     edges = seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max((F.col("kind") != "found").cast("double")).alias("seed"))
-    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("all"))
+    strong = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("all"), F.sum("n").alias("shaped"))
     strong = t.write(strong.where((F.col("seeds") >= SUPPORT) | (F.col("all") >= 2 * SUPPORT)), "patterns")
     followed = t.write(_followed(spans.select("text"), strong.select("pattern")), "followed")
-    graph = t.write(edges.join(followed, "pattern"), "graph")
+    # a name within a token is followed by what was found after it; other patterns are counted in all texts
+    known = strong.select("pattern", "shaped").join(followed, "pattern", "left").select("pattern", F.greatest(F.coalesce("followed", F.lit(0)), "shaped").alias("followed"))
+    graph = t.write(edges.join(known, "pattern"), "graph")
     belief = t.write(graph.groupBy("instance").agg(F.max("seed").alias("belief")), "belief")
     for _ in range(ROUNDS):
         weighed = graph.join(belief, "instance")

@@ -215,9 +215,9 @@ def test_spans(spark, docs, nothing):
 
 def test_contexts_vouch(spark):
     seeds = [(i, f"text before member id: user{i}@mail.com and more words") for i in range(6)]
-    df = spark.createDataFrame([*seeds, (10, "some member id: ZX81-2233 thanks"), (11, "plain words of 20231 things")], "doc_id long, text string")
+    df = spark.createDataFrame([*seeds, (10, "some member id: ZX81-2233 thanks"), (11, "plain words of 20231 things"), (12, "x contact=+1 (555) 123-4567 y"), (13, "x contact=4111111111111111 y"), (14, "x contact=Z-90210-7 y")], "doc_id long, text string")
     found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "found"] for r in pii.find(df).collect()}
-    assert found[10] == [(16, 25)] and found[11] == [] and all(not found[i] for i in range(6))
+    assert found[10] == [(16, 25)] and found[11] == [] and found[14] == [(10, 19)] and all(not found[i] for i in range(6))
 
 
 # suffix arrays
