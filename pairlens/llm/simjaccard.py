@@ -5,9 +5,11 @@ bits, too many for keys over all of 64 bits.  Here fingerprints are longer:
 eleven segments of 23 bits, each with the codewords near its 1-bit ball as
 keys, and the key of a pair of neighbouring segments is a codeword of each.
 Two such documents share one of the ten pairs' keys in more than 96 of 100
-cases at 0.8 and in 99.9 at 0.9.  Among documents with a key in common, each
-names the NEAREST others of those whose sketch, 64 more bits, is close enough;
-these pairs are verified by their shingle sets and linked into groups.
+cases at 0.8 and in 99.9 at 0.9.  All pairs with a key in common whose sketch,
+64 more bits, is close enough (at 0.8 all but 3 in 10,000 are) are verified by
+their shingle sets, but those that are in one group by then: a first round
+verifies the NEAREST of each document and links them, a second round all other
+pairs of different groups.
 
 Texts with the same words are one from the start.  What a key's group gives is
 linear in its size, and groups of more than simhash.BLOCK documents are compared in
@@ -23,6 +25,7 @@ none but doc_id and text are looked at (names that begin with "__" are reserved)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -66,21 +69,29 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short slices, so that few texts are held as objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            yield b.slice(at, 512)
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, uid (a hash of the words), and the fingerprint and sketch of each document."""
+    """doc_id, uid (a hash of the words), the number of shingles, and the fingerprint and sketch of each document."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            uid, words = [], np.zeros((b.num_rows, WORDS64), np.uint64)
+        for b in _slices(batches):
+            uid, n, words = [], [], np.zeros((b.num_rows, WORDS64), np.uint64)
             for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 joined, h = shingles(text, size)
                 uid.append(xxhash.xxh3_64_intdigest(joined))
+                n.append(len(h))
                 words[i] = _bits(h)
-            cols = [pa.array(np.asarray(uid, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(words[:, j]).view(np.int64)) for j in range(WORDS64)]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "uid", *[f"w{j}" for j in range(WORDS64)]])
+            cols = [pa.array(np.asarray(uid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j]).view(np.int64)) for j in range(WORDS64)]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "uid", "n", *[f"w{j}" for j in range(WORDS64)]])
 
-    return docs.mapInArrow(run, "doc_id long, uid long, " + ", ".join(f"w{j} long" for j in range(WORDS64)))
+    return docs.mapInArrow(run, "doc_id long, uid long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS64)))
 
 
 def segment(words: np.ndarray, i: int) -> np.ndarray:
@@ -114,12 +125,26 @@ def _keyed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(uid[row]), pa.array(sketch[row])], names=["key", "uid", "sketch"])
 
 
+def _keyed_again(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """As _keyed, with the root and the number of shingles."""
+    for at in range(0, b.num_rows, 4096):
+        part = b.slice(at, 4096)
+        words = np.stack([part.column(f"w{j}").to_numpy() for j in range(WORDS64)], axis=1).view(np.uint64)
+        uid, root, size, sketch = *(part.column(c).to_numpy() for c in ("uid", "root", "n")), np.ascontiguousarray(words[:, -1]).view(np.int64)
+        for row, key in pair_keys(words):
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *[pa.array(c[row]) for c in (uid, sketch, root, size)]], names=["key", "uid", "sketch", "root", "size"])
+
+
 def nearest_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    """For each row of a cell, up to NEAREST of the rows before it whose sketch is closest, within SKETCH_BITS."""
+    """For each row of a cell, up to NEAREST of the rows before it whose sketch is closest, within SKETCH_BITS.
+
+    A row that no later row names so comes with one of those that it is close to: every row that is close to another is in a pair.
+    """
     u = sketch.view(np.uint64)
     n = len(u)
     best = np.full((n, NEAREST), 99, np.int64)  # differing bits, ascending
     who = np.full((n, NEAREST), -1, np.int64)
+    mate = np.full(n, -1, np.int64)
     at = np.arange(n)
     for d in range(1, n):
         at = at[at < n - d]
@@ -127,21 +152,52 @@ def nearest_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray) -> pa.R
         if not len(at):
             break
         bits = np.bitwise_count(u[at] ^ u[at + d]).astype(np.int64)
+        near = at[bits <= SKETCH_BITS]
+        mate[near] = np.where(mate[near] < 0, near + d, mate[near])
         ok = (bits <= SKETCH_BITS) & (bits < best[at + d, -1])
         row, bits, other = at[ok] + d, bits[ok], at[ok]
         best[row, -1], who[row, -1] = bits, other
         order = np.argsort(best[row], axis=1, kind="stable")
         best[row], who[row] = np.take_along_axis(best[row], order, 1), np.take_along_axis(who[row], order, 1)
     row, k = np.nonzero(who >= 0)
-    a, b = uid[row], uid[who[row, k]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(best[row, k].astype(np.int32))], names=["a", "b", "bits"])
+    named = np.zeros(n, bool)
+    named[row] = named[who[row, k]] = True
+    left = np.flatnonzero(~named & (mate >= 0))
+    bits = np.concatenate([best[row, k], np.bitwise_count(u[left] ^ u[mate[left]])]).astype(np.int32)
+    a, b = uid[np.concatenate([row, left])], uid[np.concatenate([who[row, k], mate[left]])]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits)], names=["a", "b", "bits"])
+
+
+def other_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray, root: np.ndarray, size: np.ndarray, least: float = LEAST) -> pa.RecordBatch:
+    """All pairs of a cell within SKETCH_BITS whose roots differ and whose numbers of shingles allow a similarity of least."""
+    u = sketch.view(np.uint64)
+    found = [(uid[:0], uid[:0])]
+    at = np.arange(len(u))
+    for d in range(1, len(u)):
+        at = at[at < len(u) - d]
+        at = at[cell[at] == cell[at + d]]
+        if not len(at):
+            break
+        x, y = at, at + d
+        ok = (root[x] != root[y]) & (np.bitwise_count(u[x] ^ u[y]) <= SKETCH_BITS) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+        if ok.any():
+            found.append((uid[x[ok]], uid[y[ok]]))
+    a, b = map(np.concatenate, zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             both = [shingles(t, size) for t in b.column("text").cast(pa.binary()).to_pylist()]
             uid = np.asarray([xxhash.xxh3_64_intdigest(j) for j, _ in both], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array([h.view(np.int64) for _, h in both], pa.list_(pa.int64()))], names=["uid", "set"])
@@ -156,24 +212,33 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFr
     slim = ids_and_text(docs).where("doc_id is not null")
     prints = t.write(_signatures(slim, size), "signatures")
     words = [f"w{j}" for j in range(WORDS64)]
-    reps = t.write(prints.groupBy("uid").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in words]), "texts")
+    reps = t.write(prints.groupBy("uid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]), "texts")
     own = reps.select("uid", *words)
     large = t.write(large_keys(own, _keyed).withColumn("key", F.col("key").cast("int")), "large")
     keyed = keys_table(own, _keyed, "key int, uid long, sketch long")
     offered = by_cell(cells(keyed, large, "uid"), ["uid", "sketch"], nearest_pairs, "a long, b long, bits int").distinct()
-    # over all keys too, each text names its nearest: what is verified is linear in the number of texts
+    # the first round: over all keys, each text names its nearest; every text that is in any pair is in one of these
     place = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("bits", other))
     offered = offered.withColumn("at_a", place("a", "b")).withColumn("at_b", place("b", "a"))
     pairs = t.write(offered.where((F.col("at_a") <= NEAREST) | (F.col("at_b") <= NEAREST)).select("a", "b"), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(reps.select("uid", F.col("first").alias("doc_id")), "uid").select("doc_id").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(reps, "uid").withColumnRenamed("first", "doc_id")
     wanted = t.write(wanted, "wanted")
-    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    ids = wanted.select("doc_id")
+    hint = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     sets = t.write(_shingle_sets(slim.join(hint, "doc_id", "left_semi"), size).dropDuplicates(["uid"]), "sets")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    edges = t.write(both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "edges")
-    t.drop(large, pairs, wanted, sets)
+    edges = t.write(_verified(pairs, sets, least), "edges")
     roots = t.write(components(spark, edges), "roots")
+    # the second round: all other pairs with a key in common, but those that the first round put into one group
+    own = t.write(wanted.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), "n", *words), "active")
+    t.drop(large, roots)
+    large = t.write(large_keys(own, _keyed).withColumn("key", F.col("key").cast("int")), "large")
+    keyed = keys_table(own, _keyed_again, "key int, uid long, sketch long, root long, size int")
+    others = by_cell(cells(keyed, large, "uid"), ["uid", "sketch", "root", "size"], partial(other_pairs, least=least), "a long, b long").distinct()
+    others = t.write(others.join(pairs, ["a", "b"], "left_anti"), "others")
+    more = t.write(_verified(others, sets, least), "more")
+    t.drop(large, own, pairs, others, wanted, sets)
+    roots = t.write(components(spark, edges.unionByName(more)), "roots")
+    t.drop(more)
     named = t.write(reps.select("uid", "first").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
     least_id = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least_id, "root").select("uid", "component_id")

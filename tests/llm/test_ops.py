@@ -184,6 +184,49 @@ def test_shingle_groups(spark, docs, nothing):
     assert simjaccard.keep_one(nothing).count() == 0
 
 
+def test_shingle_groups_in_boilerplate(spark):
+    """Near duplicates among many siblings that share keys with them but are not similar enough."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(600, 22, replace=False):  # two of these: about 0.7
+            words[at] = f"s{i}x{at}"
+        rows.append(words)
+    for i in range(60):  # about 0.85 to the sibling
+        words = list(rows[i])
+        for at in rng.choice(600, 10, replace=False):
+            words[at] = f"c{i}x{at}"
+        rows.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = [set(simjaccard.shingles(t.encode())[1].tolist()) for _, t in rows]
+    bits = np.array([simjaccard._bits(np.array(sorted(x), np.uint64)) for x in sets])
+    keys = [set() for _ in rows]
+    for row, key in simjaccard.pair_keys(bits):
+        for r, k in zip(row.tolist(), key.tolist(), strict=True):
+            keys[r].add(k)
+    sketch = lambda i, j: int(np.bitwise_count(bits[i, -1] ^ bits[j, -1])) <= simjaccard.SKETCH_BITS
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and bool(keys[i] & keys[j]) and sketch(i, j)
+    label = _reach(len(rows), close)
+    got = {r.doc_id: r.component_id for r in simjaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: rows[label[i]][0] for i in range(len(rows))}
+    assert sum(got[400 + i] == got[i] for i in range(60)) >= 57
+
+
+def test_all_pairs_of_a_cell():
+    rng = np.random.default_rng(1)
+    n = 60
+    sketch = (rng.integers(0, 2**20, n) << 3).astype(np.int64)
+    cell, root, size = np.repeat([0, 1], n // 2), rng.integers(0, 9, n), rng.integers(90, 130, n)
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if cell[i] == cell[j] and int(sketch[i] ^ sketch[j]).bit_count() <= simjaccard.SKETCH_BITS]
+    want = {(i, j) for i, j in near if root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    out = simjaccard.other_pairs(cell, np.arange(n), sketch, root, size).to_pydict()
+    assert set(zip(out["a"], out["b"], strict=True)) == want
+    first = simjaccard.nearest_pairs(cell, np.arange(n), sketch).to_pydict()
+    assert set(first["a"]) | set(first["b"]) == {x for p in near for x in p}
+
+
 # mixing
 def test_mixing(spark, docs, nothing):
     rows = [(i, "a", "w " * 10) for i in range(300)] + [(1000 + i, "b", "w " * 10) for i in range(30)] + [(2000, None, "w w"), (2001, "c", None), (2002, "c", " ")]
