@@ -479,7 +479,7 @@ def judge_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def claim_graph(spark: SparkSession, d: str) -> DataFrame:
-    claim = F.concat(F.lit("A fire symbol on the Encoder identifies it as trained, while the "), F.substring("text", 1, 20), F.lit(" is to the left of the Decoder."))
+    claim = F.concat(F.lit("A fire symbol on the Encoder identifies it as trained, while the "), F.col("text"), F.lit(" is to the left of the Decoder."))
     rows = table(spark, d, "conversations").select("conv_id", "turn", graphs.extract_graph(claim).alias("g"))
     return rows.select("conv_id", "turn", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), graphs.dump_graph(F.col("g")).alias("graph"))
 

@@ -96,3 +96,15 @@ def test_generation_scores(spark):
     rows = {r.part: r for r in graphs.generation_scores(spark.createDataFrame([(g, g), (p, g), (None, g)], schema)).collect()}
     assert (rows["query"].tp, rows["query"].fp, rows["query"].fn) == (3, 0, 3) and (rows["node"].tp, rows["node"].fp) == (2, 1)
     assert (rows["edge"].tp, rows["edge"].fn) == (1, 2) and rows["query"].json_ok == pytest.approx(2 / 3) and rows["query"].kind_agree == pytest.approx(2 / 3)
+
+
+def test_claim_graph_reads_whole_texts(spark, tmp_path):
+    from pairlens.plans import queries
+
+    rows = [(1, 0, "words of a turn, more than twenty of them; the blue arrow points from the Sampler to the Critic. The end"), (1, 1, "short"), (2, 0, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in queries.claim_graph(spark, str(tmp_path)).collect()}
+    assert "Sampler" in got[1, 0].graph and "Critic" in got[1, 0].graph and len(got) == 3
+    for conv, turn, t in rows[:2]:
+        want = graphs.extract(f"A fire symbol on the Encoder identifies it as trained, while the {t} is to the left of the Decoder.")
+        assert (got[conv, turn].nodes, got[conv, turn].edges) == (len(want["nodes"]), len(want["edges"]))
