@@ -108,3 +108,16 @@ def test_claim_graph_reads_whole_texts(spark, tmp_path):
     for conv, turn, t in rows[:2]:
         want = graphs.extract(f"A fire symbol on the Encoder identifies it as trained, while the {t} is to the left of the Decoder.")
         assert (got[conv, turn].nodes, got[conv, turn].edges) == (len(want["nodes"]), len(want["edges"]))
+
+
+def test_record_keys_of_texts_with_escapes(spark, tmp_path):
+    import hashlib
+    import json
+
+    from pairlens.plans import queries
+
+    texts = ['a "quoted" word', "back\\slash", "tab\there", "return\rhere", "line\nbreak", 'all "\\\t\r\n\\"', "é 💡 / <&>", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    record = lambda i, t: {"caption": t, "image": f"{i}.png", "model": "m", "protocol": "p", "sample_id": str(i)}
+    want = {i: hashlib.sha256(json.dumps(record(i, t), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.item_id: r.record_key for r in queries.record_keys(spark, str(tmp_path)).collect()} == want
