@@ -22,7 +22,9 @@ gives no pieces; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,38 +37,35 @@ from pairlens.llm.common import Tables, ids_and_text
 CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
-_words: dict[bytes, bytes] = {}
-_tokenizer: dict[str, object] = {}
+#: Bytes that a task's cache of words and their ids may take, about; it is emptied when full and when the task ends.
+CACHE_BYTES, ENTRY_BYTES = 96_000_000, 150
 
 
-def _encode(words: list[bytes], path: str) -> None:
-    """Puts the ids of the words into the cache, little-endian 32 bits each."""
-    if path not in _tokenizer:
-        from tokenizers import Tokenizer
-
-        _tokenizer.clear()
-        _words.clear()
-        _tokenizer[path] = Tokenizer.from_file(path)
-    for w, e in zip(words, _tokenizer[path].encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-        _words[w] = np.asarray(e.ids, "<u4").tobytes()
+class Encoder:
+    """The ids of texts.  The tokenizer drops white space and never joins what it separates, so a
+    text's ids are those of its words in order; a test compares the two."""
 
+    def __init__(self, path: str, end: int = END):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-def ids_of(texts: list[bytes | None], path: str, end: int = END) -> list[bytes]:
-    """The ids of each text and the end id, little-endian 32 bits each.
-
-    The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words in order; a test compares the two.
-    """
-    last = np.asarray([end], "<u4").tobytes()
-    split = [(t or b"").split() for t in texts]
-    if path not in _tokenizer or len(_words) > CACHED_WORDS:
-        _words.clear()
-    new = list({w for ws in split for w in ws}.difference(_words))
-    _encode(new, path)
-    get = _words.__getitem__
-    return [b"".join(map(get, ws)) + last for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.size, self.end = 0, array("I", [end]).tobytes()
+
+    def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text and the end id, little-endian 32 bits each."""
+        split = [(t or b"").split() for t in texts]
+        if self.size > CACHE_BYTES:
+            self.words.clear()
+            self.size = 0
+        new = list({w for ws in split for w in ws}.difference(self.words))
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        ids = [array("I", e.ids).tobytes() for e in encoded]
+        self.words.update(zip(new, ids, strict=True))
+        self.size += sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -76,13 +75,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        task, encoder = TaskContext.get().partitionId(), Encoder(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             rows: list[tuple] = []
             for at in range(0, len(texts), 512):
-                for doc_id, ids in zip(b.column("doc_id")[at : at + 512].to_pylist(), ids_of(texts[at : at + 512], tokenizer_path), strict=True):
+                for doc_id, ids in zip(b.column("doc_id")[at : at + 512].to_pylist(), encoder.ids_of(texts[at : at + 512]), strict=True):
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[s : s + 4 * capacity]
                         n = len(part) // 4
