@@ -1,9 +1,12 @@
 """A gated recurrent language model in numpy, with a class-factored softmax.
 
-P(word | h) = P(class | h) P(word | class, h).  Documents run side by side in
-lanes; the state is carried from window to window and starts anew with each
-document, so a document's log-likelihood is that of its whole text, while
-gradients go back through one window at a time.
+P(word | h) = P(class | h) P(word | class, h).  Frequent words sit in small
+classes and rare ones in large, about as many classes as the root of the
+number of words, so a token costs little however large the vocabulary is.
+Documents run side by side in lanes; the state is carried from window to
+window and starts anew with each document, so a document's log-likelihood is
+that of its whole text, while gradients go back through one window at a time.
+Arrays have features first and lanes last, so each gate is one block.
 """
 
 from __future__ import annotations
@@ -12,167 +15,237 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASSES, WIDTH = 16, 32, 32
-WORDS = CLASSES * WIDTH
-WINDOW, LANES, TRAIN_LANES = 16, 512, 384
+HIDDEN = 16
+WINDOW, LANES = 16, 512
+#: In training, longer documents are cut into parts that start with an empty state, so that no lane outlasts the others.
+SEGMENT = 1024
 RATE = 0.2
+MATRICES = ("x", "u", "wc", "bc", "ww", "bw")
 
 
-def init(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Parameters whose output is the unigram distribution; counts: of each of the WORDS words."""
+def class_edges(counts: np.ndarray, tails: int = 0) -> np.ndarray:
+    """Where classes begin, and the number of entries at the end.
+
+    counts: of words by falling frequency, and of the last ``tails`` entries,
+    which are classes of their own.  The root of the counts is shared out evenly.
+    """
+    n = len(counts) - tails
+    own = np.zeros(0, np.int64)
+    if n:
+        mass = np.cumsum(np.sqrt(np.maximum(counts[:n].astype(np.float64), 1)))
+        k = max(1, round(n**0.5))
+        number = np.minimum((mass / mass[-1] * k).astype(np.int64), k - 1)
+        own = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return np.concatenate([own, np.arange(n, len(counts) + 1)]).astype(np.int64)
+
+
+def init(counts: np.ndarray, tails: int = 0, seed: int = 11) -> dict[str, np.ndarray]:
+    """Parameters whose output is the unigram distribution, and Adagrad's sums of squares (names with a q before)."""
     rng = np.random.default_rng(seed)
-    p = np.maximum(counts.astype(np.float64), 0.5).reshape(CLASSES, WIDTH)
+    edges = class_edges(counts, tails)
+    classes, words = len(edges) - 1, len(counts)
+    p = np.maximum(counts.astype(np.float64), 0.5)
+    by_class = np.add.reduceat(p, edges[:-1])
     f = lambda *shape, s: (rng.normal(size=shape) * s).astype(np.float32)
-    return {
-        "x": f(WORDS + 1, 3 * HIDDEN, s=0.3),  # what a word adds to the gates, biases included; the last row begins a text
-        "u": f(HIDDEN, 3 * HIDDEN, s=1 / np.sqrt(HIDDEN)),
-        "wc": f(HIDDEN, CLASSES, s=0.02),
-        "bc": np.log(p.sum(1) / p.sum()).astype(np.float32),
-        "ww": f(CLASSES, HIDDEN, WIDTH, s=0.02),
-        "bw": np.log(p / p.sum(1, keepdims=True)).astype(np.float32),
+    out = {
+        "x": f(words + 1, 3 * HIDDEN, s=0.3),  # what a word adds to the gates, biases included; the last row begins a text
+        "u": f(3 * HIDDEN, HIDDEN, s=1 / np.sqrt(HIDDEN)),
+        "wc": f(classes, HIDDEN, s=0.02),
+        "bc": np.log(by_class / p.sum()).astype(np.float32),
+        "ww": f(words, HIDDEN, s=0.02),
+        "bw": np.log(p / np.repeat(by_class, np.diff(edges))).astype(np.float32),
     }
+    return out | {f"q{k}": np.full_like(out[k], 1e-6) for k in MATRICES} | {"edges": edges}
+
 
+def in_lanes(docs: list[np.ndarray], lanes: int, begin: int, segment: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(target, previous, document, fresh), steps by lanes, longest lane first.
 
-def in_lanes(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(target, previous, document), steps by lanes; document is -1 where a lane has ended, previous is WORDS where a document begins.  Longest lane first."""
-    lanes = max(1, min(lanes, len(docs)))
+    document is -1 where a lane has ended; previous is ``begin`` where a document begins; fresh where the state starts anew.
+    """
+    parts = [(d, a, min(len(x), a + (segment or len(x)))) for d, x in enumerate(docs) for a in range(0, len(x), segment or len(x))]
+    lanes = max(1, min(lanes, len(parts)))
     heap = [(0, i) for i in range(lanes)]
-    own: list[list[int]] = [[] for _ in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+    own: list[list[tuple[int, int, int]]] = [[] for _ in range(lanes)]
+    for part in sorted(parts, key=lambda p: p[1] - p[2]):
         load, i = heapq.heappop(heap)
-        own[i].append(d)
-        heapq.heappush(heap, (load + len(docs[d]), i))
-    size = [sum(len(docs[d]) for d in ds) for ds in own]
+        own[i].append(part)
+        heapq.heappush(heap, (load + part[2] - part[1], i))
+    size = [sum(b - a for _, a, b in ps) for ps in own]
     order = sorted(range(lanes), key=lambda i: -size[i])
-    steps = max(size)
-    target = np.zeros((steps, lanes), np.int32)
-    previous = np.zeros((steps, lanes), np.int32)
-    document = np.full((steps, lanes), -1, np.int32)
+    shape = (max(size, default=0), lanes)
+    target, previous, document, fresh = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
     for lane, i in enumerate(order):
         at = 0
-        for d in own[i]:
-            n = len(docs[d])
-            target[at : at + n, lane] = docs[d]
-            previous[at, lane] = WORDS
-            previous[at + 1 : at + n, lane] = docs[d][:-1]
+        for d, a, b in own[i]:
+            n = b - a
+            target[at : at + n, lane] = docs[d][a:b]
+            previous[at, lane] = docs[d][a - 1] if a else begin
+            previous[at + 1 : at + n, lane] = docs[d][a : b - 1]
             document[at : at + n, lane] = d
+            fresh[at, lane] = True
             at += n
-    return target, previous, document
+    return target, previous, document, fresh
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """By exp, which numpy has at a third of tanh's cost."""
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
-
-
-def _forward(p: dict[str, np.ndarray], previous: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States of a window (steps, lanes, HIDDEN) and the last one; keep gets what the backward pass needs."""
-    n2 = 2 * HIDDEN
-    out = np.empty((len(previous), len(h), HIDDEN), np.float32)
-    gx = p["x"][previous]
-    for t in range(len(previous)):
-        fresh = previous[t] == WORDS
-        if fresh.any():
-            h = np.where(fresh[:, None], np.float32(0), h)
-        gh = h @ p["u"]
-        zr = _sigmoid(gx[t, :, :n2] + gh[:, :n2])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        hn = gh[:, n2:]
-        n = 2 * _sigmoid(2 * (gx[t, :, n2:] + r * hn)) - 1
-        new = n + z * (h - n)
+    """In place; by exp, which numpy has at a third of tanh's cost."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
+
+
+def _log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x less the logarithms of its columns' sums of exponentials, in place, and the shares."""
+    x -= x.max(axis=0)
+    e = np.exp(x)
+    s = e.sum(axis=0)
+    e /= s
+    x -= np.log(s)
+    return x, e
+
+
+def _forward(p: dict[str, np.ndarray], previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States of a window (HIDDEN, steps, lanes) and the last one; keep gets what the backward pass needs."""
+    n1, n2 = HIDDEN, 2 * HIDDEN
+    steps, lanes = previous.shape
+    out = np.empty((HIDDEN, steps, lanes), h.dtype)
+    gx = np.ascontiguousarray(p["x"][previous.ravel()].T).reshape(3 * HIDDEN, steps, lanes)
+    starts = fresh.any(axis=1)
+    for t in range(steps):
+        if starts[t]:
+            h = h * ~fresh[t]
+        gh = p["u"] @ h
+        zr = _sigmoid(gx[:n2, t] + gh[:n2])
+        z, r, hn = zr[:n1], zr[n1:], gh[n2:]
+        n = r * hn
+        n += gx[n2:, t]
+        n *= 2
+        n = _sigmoid(n)
+        n *= 2
+        n -= 1
+        new = h - n
+        new *= z
+        new += n
         if keep is not None:
-            keep.append((h, z, r, n, hn, fresh))
-        out[t] = h = new
+            keep.append((h, z, r, n, hn))
+        out[:, t] = h = new
     return out, h
 
 
+def _by_class(p: dict[str, np.ndarray], y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where to find the tokens, class by class: order, the class of each, and where each class begins in it."""
+    edges = p["edges"]
+    number = np.repeat(np.arange(len(edges) - 1), np.diff(edges)).astype(np.uint16)
+    c = np.where(on, number[y], np.uint16(65535))
+    order = np.argsort(c, kind="stable")[: int(on.sum())]
+    c = c[order]
+    return order, c, np.searchsorted(c, np.arange(len(edges)))
+
+
 def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """The natural log-likelihood of each document, an array of word numbers that isn't empty."""
     total = np.zeros(len(docs))
     if not docs:
         return total
-    target, previous, document = in_lanes(docs, LANES)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(target), WINDOW):
-        live = int((document[at] >= 0).sum())
-        part = slice(at, at + WINDOW)
-        states, h = _forward(p, previous[part, :live], h[:live])
-        flat, y, d = states.reshape(-1, HIDDEN), target[part, :live].ravel(), document[part, :live].ravel()
-        on = d >= 0
-        flat, y, d = flat[on], y[on], d[on]
-        c = (y // WIDTH).astype(np.uint8)
-        order = np.argsort(c, kind="stable")
-        flat, y, d, c = flat[order], y[order], d[order], c[order]
-        lp = _log_softmax(flat @ p["wc"] + p["bc"])[np.arange(len(y)), c].astype(np.float64)
-        edge = np.searchsorted(c, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            a, b = edge[k], edge[k + 1]
-            if a < b:
-                lp[a:b] += _log_softmax(flat[a:b] @ p["ww"][k] + p["bw"][k])[np.arange(b - a), y[a:b] % WIDTH]
-        total += np.bincount(d, weights=lp, minlength=len(docs))
+    target, previous, document, fresh = in_lanes(docs, LANES, len(p["bw"]))
+    edges = p["edges"]
+    h = np.zeros((HIDDEN, target.shape[1]), np.float32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(target), WINDOW):
+            live = int((document[at] >= 0).sum())
+            part = slice(at, at + WINDOW)
+            states, h = _forward(p, previous[part, :live], fresh[part, :live], h[:, :live])
+            y, d = target[part, :live].ravel(), document[part, :live].ravel()
+            order, c, first = _by_class(p, y, d >= 0)
+            s, y, d = states.reshape(HIDDEN, -1)[:, order], y[order], d[order]
+            x = p["wc"] @ s
+            x += p["bc"][:, None]
+            lp = x[c, np.arange(len(y))].astype(np.float64)
+            top = x.max(axis=0)
+            x -= top
+            lp -= np.log(np.exp(x, x).sum(axis=0)) + top
+            for k in np.flatnonzero((first[1:] > first[:-1]) & (np.diff(edges) > 1)).tolist():
+                a, b, e, f = first[k], first[k + 1], edges[k], edges[k + 1]
+                x = p["ww"][e:f] @ s[:, a:b]
+                x += p["bw"][e:f, None]
+                lp[a:b] += x[y[a:b] - e, np.arange(b - a)]
+                top = x.max(axis=0)
+                x -= top
+                lp[a:b] -= np.log(np.exp(x, x).sum(axis=0)) + top
+            total += np.bincount(d, weights=lp, minlength=len(docs))
     return total
 
 
-def _gradients(p: dict[str, np.ndarray], target: np.ndarray, previous: np.ndarray, on: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradients over a window, the last state, and the summed log-likelihood.
+def gradients(p: dict[str, np.ndarray], target: np.ndarray, previous: np.ndarray, fresh: np.ndarray, on: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple], np.ndarray, float]:
+    """By name, (rows, gradient) pairs over a window; the last state; and the summed log-likelihood.
 
     All windows are scaled alike, so the few lanes that outlast the others weigh no more than their tokens.
     """
     keep: list = []
-    states, last = _forward(p, previous, h, keep)
-    flat, y, live = states.reshape(-1, HIDDEN), target.ravel(), on.ravel()
-    scale = np.float32(1 / (WINDOW * TRAIN_LANES))
-    order = np.argsort(np.where(live, y // WIDTH, 255).astype(np.uint8), kind="stable")[: int(live.sum())]
-    flat, y = flat[order], y[order]
-    c, w = y // WIDTH, y % WIDTH
-    g = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    lp = _log_softmax(flat @ p["wc"] + p["bc"])
-    total = float(lp[np.arange(len(y)), c].sum())
-    d = np.exp(lp)
-    d[np.arange(len(y)), c] -= 1
+    states, last = _forward(p, previous, fresh, h, keep)
+    edges, scale = p["edges"], np.float32(1 / (WINDOW * LANES))
+    order, c, first = _by_class(p, target.ravel(), on.ravel())
+    s, y = states.reshape(HIDDEN, -1)[:, order], target.ravel()[order]
+    every = np.arange(len(y))
+    g: dict[str, list] = {k: [] for k in MATRICES}
+    x = p["wc"] @ s
+    x += p["bc"][:, None]
+    x, d = _log_softmax(x)
+    total = float(x[c, every].sum())
+    d[c, every] -= 1
     d *= scale
-    g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-    dh = d @ p["wc"].T
-    edge = np.searchsorted(c, np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        a, b = edge[k], edge[k + 1]
-        if a < b:
-            lp = _log_softmax(flat[a:b] @ p["ww"][k] + p["bw"][k])
-            i = np.arange(b - a)
-            total += float(lp[i, w[a:b]].sum())
-            d = np.exp(lp)
-            d[i, w[a:b]] -= 1
-            d *= scale
-            g["ww"][k], g["bw"][k] = flat[a:b].T @ d, d.sum(0)
-            dh[a:b] += d @ p["ww"][k].T
-    out = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
-    out[order] = dh
+    g["wc"].append((slice(None), d @ s.T))
+    g["bc"].append((slice(None), d.sum(axis=1)))
+    ds = p["wc"].T @ d
+    for k in np.flatnonzero((first[1:] > first[:-1]) & (np.diff(edges) > 1)).tolist():
+        a, b, rows = first[k], first[k + 1], slice(int(edges[k]), int(edges[k + 1]))
+        w, i = p["ww"][rows], every[: b - a]
+        x = w @ s[:, a:b]
+        x += p["bw"][rows, None]
+        x, d = _log_softmax(x)
+        own = y[a:b] - rows.start
+        total += float(x[own, i].sum())
+        d[own, i] -= 1
+        d *= scale
+        g["ww"].append((rows, d @ s[:, a:b].T))
+        g["bw"].append((rows, d.sum(axis=1)))
+        ds[:, a:b] += w.T @ d
+    out = np.zeros((HIDDEN, states.shape[1] * states.shape[2]), ds.dtype)
+    out[:, order] = ds
     out = out.reshape(states.shape)
-    gx = np.empty((*states.shape[:2], 3 * HIDDEN), np.float32)
-    g["u"] = np.zeros_like(p["u"])
+    gx = np.empty((3 * HIDDEN, *states.shape[1:]), ds.dtype)
+    gu, gh = np.zeros_like(p["u"]), np.empty((3 * HIDDEN, states.shape[2]), ds.dtype)
     back = np.zeros_like(last)
+    n1, n2 = HIDDEN, 2 * HIDDEN
+    starts = fresh.any(axis=1)
     for t in range(len(keep) - 1, -1, -1):
-        h, z, r, n, hn, fresh = keep[t]
-        back = back + out[t]
-        an = back * (1 - z) * (1 - n * n)
-        az = back * (h - n) * z * (1 - z)
-        ar = an * hn * r * (1 - r)
-        gx[t] = np.concatenate([az, ar, an], axis=1)
-        gh = np.concatenate([az, ar, an * r], axis=1)
-        g["u"] += h.T @ gh
-        back = back * z + gh @ p["u"].T
-        if fresh.any():
-            back[fresh] = 0
+        h, z, r, n, hn = keep[t]
+        back += out[:, t]
+        q = back * z
+        an = back - q
+        an *= 1 - n * n
+        q *= 1 - z
+        q *= h - n
+        gh[:n1] = gx[:n1, t] = q
+        gx[n2:, t] = an
+        an *= r
+        gh[n2:] = an
+        an *= hn
+        an *= 1 - r
+        gh[n1:n2] = gx[n1:n2, t] = an
+        gu += gh @ h.T
+        back *= z
+        back += p["u"].T @ gh
+        if starts[t]:
+            back *= ~fresh[t]
+    g["u"].append((slice(None), gu))
     words = previous.ravel()
     order = np.argsort(words, kind="stable")
-    sorted_ = words[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    g["rows"], g["x"] = sorted_[first], np.add.reduceat(gx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    words = words[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    g["x"].append((words[first], np.add.reduceat(np.ascontiguousarray(gx.reshape(3 * HIDDEN, -1).T)[order], first, axis=0)))
     return g, last, total
 
 
@@ -181,42 +254,45 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.square = {k: np.full_like(v, 1e-6) for k, v in p.items()}
         self.tokens = 0
 
     def learn(self, docs: list[np.ndarray]) -> float:
         """One pass; returns the mean log-likelihood of a token, each before it was learnt from."""
         if not docs:
             return 0.0
-        target, previous, document = in_lanes(docs, TRAIN_LANES)
-        h = np.zeros((target.shape[1], HIDDEN), np.float32)
+        p = self.p
+        target, previous, document, fresh = in_lanes(docs, LANES, len(p["bw"]), SEGMENT)
+        h = np.zeros((HIDDEN, target.shape[1]), np.float32)
         total = n = 0
-        for at in range(0, len(target), WINDOW):
-            live = int((document[at] >= 0).sum())
-            part = slice(at, at + WINDOW)
-            on = document[part, :live] >= 0
-            g, h, ll = _gradients(self.p, target[part, :live], previous[part, :live], on, h[:live])
-            total, n = total + ll, n + int(on.sum())
-            rows = g.pop("rows")
-            for k, v in g.items():
-                s, q = (self.square[k], self.p[k]) if k != "x" else (self.square[k][rows], self.p[k][rows])
-                s += v * v
-                q -= RATE * v / np.sqrt(s)
-                if k == "x":
-                    self.square[k][rows], self.p[k][rows] = s, q
+        with np.errstate(over="ignore"):
+            for at in range(0, len(target), WINDOW):
+                live = int((document[at] >= 0).sum())
+                part = slice(at, at + WINDOW)
+                on = document[part, :live] >= 0
+                g, h, ll = gradients(p, target[part, :live], previous[part, :live], fresh[part, :live], on, h[:, :live])
+                total, n = total + ll, n + int(on.sum())
+                for k, pairs in g.items():
+                    for rows, v in pairs:
+                        s = p[f"q{k}"][rows] + v * v
+                        p[f"q{k}"][rows] = s
+                        p[k][rows] -= RATE * v / np.sqrt(s)
         self.tokens += n
         return total / max(1, n)
 
 
+def _names(p: dict[str, np.ndarray]) -> list[str]:
+    return [k for k in sorted(p) if k != "edges"]
+
+
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
+    return np.concatenate([p[k].ravel() for k in _names(p)])
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    shapes = {"x": (WORDS + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, WIDTH), "bw": (CLASSES, WIDTH)}
-    out, at = {}, 0
-    for k in sorted(shapes):
-        n = int(np.prod(shapes[k]))
-        out[k] = flat[at : at + n].astype(np.float32).reshape(shapes[k])
+def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """flat in the shapes of like."""
+    out, at = {"edges": like["edges"]}, 0
+    for k in _names(like):
+        n = like[k].size
+        out[k] = flat[at : at + n].astype(np.float32).reshape(like[k].shape)
         at += n
     return out

@@ -304,36 +304,67 @@ def test_parse_steps(monkeypatch):
 # language model
 def test_gradients():
     rng = np.random.default_rng(6)
-    p = {k: v.astype(np.float64) for k, v in gru.init(rng.integers(1, 100, gru.WORDS)).items()}
-    target = rng.integers(0, gru.WORDS, (5, 3))
-    previous = np.vstack([[gru.WORDS] * 3, target[:-1]])
-    previous[3, 1] = gru.WORDS
+    words, tails = 40, 3
+    p = {k: v if k == "edges" else v.astype(np.float64) for k, v in gru.init(np.sort(rng.integers(1, 100, words))[::-1], tails).items()}
+    assert p["edges"][-1] == words and (np.diff(p["edges"])[-tails:] == 1).all()
+    p["ww"] *= 20
+    target = rng.integers(0, words, (5, 3))
+    previous = np.vstack([[words] * 3, target[:-1]])
+    fresh = np.zeros((5, 3), bool)
+    fresh[0] = fresh[3, 1] = True
+    previous[3, 1] = words
     on = np.ones((5, 3), bool)
     on[4, 2] = False
-    h = np.zeros((3, gru.HIDDEN))
-    g = gru._gradients(p, target, previous, on, h)[0]
-    scale = gru.WINDOW * gru.TRAIN_LANES
-    for k, i in (("u", (1, 5)), ("u", (2, 2 * gru.HIDDEN + 1)), ("wc", (3, 4)), ("bc", (2,)), ("bw", (int(target[0, 0]) // gru.WIDTH, 1))):
-        e = 1e-2
-        q = {a: b.copy() for a, b in p.items()}
-        q[k][i] += e
-        up = gru._gradients(q, target, previous, on, h)[2]
-        q[k][i] -= 2 * e
-        down = gru._gradients(q, target, previous, on, h)[2]
-        assert -(up - down) / (2 * e) / scale == pytest.approx(float(g[k][i]), rel=2e-2, abs=1e-7)
+    run = lambda q: gru.gradients(q, target, previous, fresh, on, np.zeros((gru.HIDDEN, 3)))
+    g = run(p)[0]
+    scale = gru.WINDOW * gru.LANES
+    for k in gru.MATRICES:
+        whole = np.zeros_like(p[k])
+        for rows, v in g[k]:
+            whole[rows] += v
+        for i in zip(*[x[:4] for x in np.nonzero(np.abs(whole) > np.abs(whole).max() / 3)], strict=True):
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k][i] += 1e-4
+            down[k][i] -= 1e-4
+            assert -(run(up)[2] - run(down)[2]) / 2e-4 / scale == pytest.approx(float(whole[i]), rel=1e-3), (k, i)
 
 
 def test_state_is_carried_and_reset():
     rng = np.random.default_rng(7)
-    p = gru.init(rng.integers(1, 50, gru.WORDS))
+    p = gru.init(rng.integers(1, 50, 300), 2)
     p["wc"] *= 50
-    docs = [rng.integers(0, gru.WORDS, n).astype(np.int32) for n in (1, 5, 40, 100, 33)]
+    docs = [rng.integers(0, 300, n).astype(np.int32) for n in (1, 5, 40, 100, 33)]
     alone = [gru.log_likelihoods(p, [d])[0] for d in docs]
     assert gru.log_likelihoods(p, docs) == pytest.approx(alone, rel=1e-4)
     step = np.concatenate([gru.log_likelihoods(p, [docs[2][: k + 1]]) for k in range(40)])
     assert step[-1] == pytest.approx(alone[2], rel=1e-4) and (np.diff(step) < 0).all()
 
 
+def test_long_documents_are_learnt_in_parts():
+    docs = [np.arange(10, dtype=np.int32), np.arange(3, dtype=np.int32)]
+    target, previous, document, fresh = gru.in_lanes(docs, 4, 99, 4)
+    seen = sorted((int(d), int(q), int(t)) for t, q, d in zip(target.ravel(), previous.ravel(), document.ravel(), strict=True) if d >= 0)
+    assert seen == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 5), (0, 5, 6), (0, 6, 7), (0, 7, 8), (0, 8, 9), (0, 99, 0), (1, 0, 1), (1, 1, 2), (1, 99, 0)]
+    assert fresh.sum() == 4 and len(target) == 4
+
+
+def test_entries_are_a_distribution(monkeypatch):
+    """Over all known words and one unknown, probabilities add up to one, whatever the state."""
+    monkeypatch.setattr(lmscore, "FEWEST_WORDS", 5)
+    monkeypatch.setattr(lmscore, "MOST_WORDS", 5)
+    counts = [(b"w%d" % i, c) for i, c in enumerate((90, 70, 50, 33, 20, 19, 17, 9, 8, 3, 1, 1))]
+    rest = [2, 2, 1]  # known, but not in the table
+    v = lmscore.Vocabulary(counts, sum(c for _, c in counts) + sum(rest), len(counts) + len(rest))
+    p = gru.init(v.counts, v.tails)
+    total = 0.0
+    for w, _ in counts:
+        r = v.ranks([w])
+        total += np.exp(gru.log_likelihoods(p, [v.entry[r]])[0]) * 10 ** v.share_log[r][0]
+    beyond = np.exp(gru.log_likelihoods(p, [v.entry[v.ranks([b"?"])]])[0])
+    total += sum(beyond * (c + 1) / 10**v.beyond_log for c in [*rest, 0])
+    assert total == pytest.approx(1, rel=1e-4)
+
+
 def test_lm_scores(spark, docs, nothing, monkeypatch):
     import math
 
