@@ -12,12 +12,13 @@ table gives an empty ledger; other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import ids_and_text
@@ -26,24 +27,19 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
+#: A word of two characters or more that has one of the first and none of the second is shouted.
+CAPITALS, SMALL = re.compile(b"[A-Z]"), re.compile(b"[a-z]")
 
-#: The bit of a rule is its place in this list: rules are only ever appended.
-RULES: list[tuple[str, Column]] = []
-
-
-def _rules() -> list[tuple[str, Column]]:
-    if not RULES:
-        c = F.col
-        RULES.extend([
-            ("few_words", c("n_words") < 10),
-            ("repeated_windows", 100 * c("n_repeat_words") > 20 * c("n_words")),
-            ("symbols", 10 * c("n_symbols") > c("n_words")),
-            ("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
-            ("shouting", 2 * c("n_shouted") > c("n_words")),
-            ("short_words", c("word_chars") < 2 * c("n_words")),
-            ("long_words", c("word_chars") > 25 * c("n_words")),
-        ])
-    return RULES
+#: What fails, by measurements: numbers of one text, or columns of a ledger.  The bit of a rule is its place in this list: rules are only ever appended.
+RULES: list[tuple[str, Callable]] = [
+    ("few_words", lambda m: m["n_words"] < 10),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    ("shouting", lambda m: 2 * m["n_shouted"] > m["n_words"]),
+    ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("long_words", lambda m: m["word_chars"] > 25 * m["n_words"]),
+]
 
 
 @dataclass(frozen=True)
@@ -56,7 +52,7 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        places = {name: i for i, (name, _) in enumerate(_rules())}
+        places = {name: i for i, (name, _) in enumerate(RULES)}
         return sum(1 << places[r] for r in self.rules)
 
 
@@ -111,8 +107,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
             full += 1
             dup += line in seen
             seen.add(line)
-    decoded = text.decode("utf-8", "replace")
-    shouted = 0 if decoded.islower() else sum(w.isupper() and len(w) > 1 for w in decoded.split())
+    shouted = 0 if not CAPITALS.search(text) else sum(1 for w in words if CAPITALS.search(w) and not SMALL.search(w) and len(w.decode("utf-8", "replace")) > 1)
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup, repeated_words(words), full, shouted
 
 
@@ -131,8 +126,9 @@ def measurements(docs: DataFrame) -> DataFrame:
 def ledger(docs: DataFrame) -> DataFrame:
     """The measurements, and failed: a bit for each rule that the document fails."""
     bits = F.lit(0).cast("long")
-    for i, (_, failing) in enumerate(_rules()):
-        bits = bits.bitwiseOR(F.when(failing, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    measured = {m: F.col(m) for m in MEASURES}
+    for i, (_, failing) in enumerate(RULES):
+        bits = bits.bitwiseOR(F.when(failing(measured), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return measurements(docs).withColumn("failed", bits)
 
 
@@ -144,7 +140,7 @@ def apply_policy(table: DataFrame, policy: Policy = STRICT) -> DataFrame:
 def ablations(table: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """For each rule of the policy: documents that fail it, and those that only it rejects."""
     sets = table.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("bits")).count()
-    names = [(name, 1 << i) for i, (name, _) in enumerate(_rules()) if name in policy.rules]
+    names = [(name, 1 << i) for i, (name, _) in enumerate(RULES) if name in policy.rules]
     one = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit")) for n, b in names])).alias("r")
     hit = F.col("bits").bitwiseAND(F.col("r.bit")) != 0
     return sets.select("bits", "count", one).groupBy(F.col("r.rule").alias("rule")).agg(F.coalesce(F.sum(F.when(hit, F.col("count"))), F.lit(0)).alias("n_failed"), F.coalesce(F.sum(F.when(F.col("bits") == F.col("r.bit"), F.col("count"))), F.lit(0)).alias("n_only"))
@@ -168,13 +164,29 @@ def kept_documents(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
 
 
 def failed_bits(m: dict[str, int]) -> int:
-    """The rules of RULES over one row of measurements, for use within a task; a test holds the two together."""
-    n = m["n_words"]
-    fails = (n < 10, 100 * m["n_repeat_words"] > 20 * n, 10 * m["n_symbols"] > n, 10 * m["n_dup_lines"] > 3 * m["n_lines"], 2 * m["n_shouted"] > n, m["word_chars"] < 2 * n, m["word_chars"] > 25 * n)
-    return sum(1 << i for i, x in enumerate(fails) if x)
+    """RULES over the measurements of one text."""
+    return sum(1 << i for i, (_, failing) in enumerate(RULES) if failing(m))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     table = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     base = F.col("failed").bitwiseAND(F.lit(BASE.mask)) != 0
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed", "policy")
+
+
+OP7_SQL = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+i AS (SELECT doc_id, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS k, lead(x, 4) OVER o IS NOT NULL AS whole FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM i WHERE whole),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM k WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND length(x) > 1)) AS n_shouted
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+  + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN 2 * n_shouted > n_words THEN 16 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & (1 + 2 + 4 + 16 + 32 + 64) = 0 AS kept, failed, 'prose-v1' AS policy FROM f
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc_normaliser": warc.OP1_SQL,
     "op2_line_dedup": linededup.OP2_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
     "op8_temperature_mixing": mixing.OP8_SQL,
 }
