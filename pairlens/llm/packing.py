@@ -95,44 +95,53 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
 
 
 class Complements:
-    """What is left of each length, and which sums of one, two or three lengths may still be had."""
+    """What is left of each length, and by sum the combinations of one, two or three lengths that may still be had.
+
+    A sum's combinations are listed when it is first asked for, largest
+    members first, and lose those that are used up: counts only fall.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64)
-        there = (self.left > 0).astype(np.float64)
-        n = len(there)
-        size = 1 << (3 * n).bit_length()
-        f = np.fft.rfft(there, size)
-        self.pair = np.fft.irfft(f * f, size)[:n] > 0.5
-        self.triple = np.fft.irfft(f * f * f, size)[:n] > 0.5
+        self.pairs: dict[int, np.ndarray] = {}  # the larger members, by sum
+        self.triples: dict[int, np.ndarray] = {}  # the largest members, by sum
 
     def free(self, length: int, used: dict[int, int]) -> bool:
         return self.left[length] > used.get(length, 0)
 
+    def pairs_of(self, total: int) -> np.ndarray:
+        a = self.pairs.get(total)
+        if a is None:
+            a = np.arange(total - 1, (total - 1) // 2, -1)
+        if len(a):
+            a = a[(self.left[a] > 0) & (self.left[total - a] > 0)]
+        self.pairs[total] = a
+        return a
+
+    def triples_of(self, total: int) -> np.ndarray:
+        a = self.triples.get(total)
+        if a is None:
+            a = np.arange(total - 2, (total - 1) // 3, -1)
+        if len(a):
+            a = a[self.left[a] > 0]
+        self.triples[total] = a
+        return a
+
     def find_pair(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
-        if not self.pair[gap]:
-            return None
-        low = (gap + 1) // 2
-        a = np.arange(low, gap)
-        a = a[(self.left[low:gap] > 0) & (self.left[gap - a] > 0)]
-        if not len(a):
-            self.pair[gap] = False  # counts only fall
-        for x in a[::-1].tolist():
-            y = gap - x
-            if self.free(x, used) and self.free(y, used | {x: used.get(x, 0) + 1}):
-                return x, y
+        for x in self.pairs_of(gap).tolist():
+            if self.free(x, used) and self.free(gap - x, used | {x: used.get(x, 0) + 1}):
+                return x, gap - x
         return None
 
     def find_triple(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
-        if not self.triple[gap]:
-            return None
-        a = np.arange((gap + 2) // 3, gap - 1)
-        a = a[(self.left[a] > 0) & self.pair[gap - a]]
-        if not len(a):
-            self.triple[gap] = False
-        for x in a[::-1].tolist():
-            if self.free(x, used) and (more := self.find_pair(gap - x, used | {x: used.get(x, 0) + 1})):
+        none = []
+        for x in self.triples_of(gap).tolist():
+            if not len(self.pairs_of(gap - x)):
+                none.append(x)  # and never again
+            elif self.free(x, used) and (more := self.find_pair(gap - x, used | {x: used.get(x, 0) + 1})):
                 return x, *more
+        if none:
+            self.triples[gap] = np.setdiff1d(self.triples[gap], none)[::-1]
         return None
 
     def find(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
