@@ -31,8 +31,9 @@ from pairlens.llm.common import WORD, Tables, keyed_join
 SEED = 17
 #: Documents that share a hash prefix, on average, at most.
 PREFIX_ROWS = 4096
+#: Hexadecimal digits by which prefixes get longer at a time: no source has more prefixes at once than so many digits make.
+LEVEL_DIGITS = 2
 STEPS, HALVINGS = 40, 4
-NO_SOURCE = "\x00"
 
 
 def _tokens(docs: DataFrame) -> Column:
@@ -40,7 +41,7 @@ def _tokens(docs: DataFrame) -> Column:
 
 
 def _source() -> Column:
-    return F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
 def _order(seed: int, block: Column) -> Column:
@@ -71,16 +72,26 @@ def _bisect(shares: DataFrame, budget: float, good) -> float:
 
 
 def exponent_for(shares: DataFrame, budget: float, entropy: float | None, max_repeats: float | None) -> float:
-    """shares: share and tokens of each source; entropy in nats, or halfway between natural and uniform."""
+    """shares: share and tokens of each source; entropy in nats, or halfway between natural and uniform.
+
+    No mixture repeats its sources less than the natural one, so a limit that this one breaks can't be met: an error.
+    """
     natural, most = _at(shares, [1.0], budget)[0]
+    if max_repeats is not None and most > max_repeats * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens repeats every source {most:.3f} times or more; {max_repeats} are allowed")
     if entropy is None:
         entropy = (natural + math.log(shares.count())) / 2
     out = 1.0 if entropy <= natural else _bisect(shares, budget, lambda x: x[0] >= entropy)
-    if max_repeats is not None and most <= max_repeats and _at(shares, [out], budget)[0][1] > max_repeats:
+    if max_repeats is not None and _at(shares, [out], budget)[0][1] > max_repeats:
         out = _bisect(shares, budget, lambda x: x[1] > max_repeats)
     return round(out, 6)
 
 
+def _within(rows: DataFrame, edge: DataFrame, digits: int) -> DataFrame:
+    """Rows whose order begins with the prefix, of so many digits, that edge has for their source; with before, the tokens up to there."""
+    return rows.withColumn("prefix", F.substring("__order", 1, digits)).join(edge, ["__source", "prefix"]).drop("prefix")
+
+
 def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = None, max_repeats: float | None = 4.0, seed: int = SEED) -> DataFrame:
     """A row for each source with tokens: weight, budget, whole blocks, and the hash up to which the last block goes."""
     spark = docs.sparkSession
@@ -99,17 +110,21 @@ def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = Non
     weight = F.round(F.pow(F.col("tokens") / F.lit(total), F.lit(x)) / F.lit(norm), 9)
     params = sums.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * F.lit(budget)).cast("long"))
     params = t.write(params.withColumn("blocks", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn("rest", F.col("budget") - F.col("blocks") * F.col("tokens")), "params")
-    digits = max(1, math.ceil(math.log(max(rows / PREFIX_ROWS, 1), 16)))
     hashed = keyed_join(slim, params.select("__source", "n", "blocks", "rest"), "__source", rows, how="inner").withColumn("__order", _order(seed, F.col("blocks")))
-    hashed = t.write(hashed.select("__source", "__tokens", "rest", "__order", F.substring("__order", 1, digits).alias("prefix")), "hashed")
-    by_prefix = hashed.groupBy("__source", "prefix").agg(F.sum("__tokens").alias("sum"), F.first("rest").alias("rest"))
-    upto = F.sum("sum").over(Window.partitionBy("__source").orderBy("prefix"))
-    edge = t.write(by_prefix.withColumn("upto", upto).where("upto > rest").groupBy("__source").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("sum")).alias("before"))).alias("e")).select("__source", "e.prefix", "e.before"), "edges")
-    within = hashed.join(edge, ["__source", "prefix"]).withColumn("upto", F.col("before") + F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__order")))
+    hashed = t.write(hashed.select("__source", "__tokens", "rest", "__order"), "hashed")
+    levels = max(1, math.ceil(math.log(max(rows / PREFIX_ROWS, 1), 16**LEVEL_DIGITS)))
+    own, edges = hashed.withColumn("before", F.lit(0).cast("long")), []
+    for digits in range(LEVEL_DIGITS, LEVEL_DIGITS * levels + 1, LEVEL_DIGITS):  # longer prefixes, within the one that the cut is in
+        by_prefix = own.groupBy("__source", F.substring("__order", 1, digits).alias("prefix")).agg(F.sum("__tokens").alias("sum"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("sum").over(Window.partitionBy("__source").orderBy("prefix"))
+        first = by_prefix.withColumn("upto", upto).where("upto > rest").groupBy("__source").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("sum")).alias("before"))).alias("e"))
+        edges.append(edge := t.write(first.select("__source", "e.prefix", "e.before"), "edges"))
+        own = _within(hashed, edge, digits)
+    within = own.withColumn("upto", F.col("before") + F.sum("__tokens").over(Window.partitionBy("__source").orderBy("__order")))
     cut = within.where("upto <= rest").groupBy("__source").agg(F.max("__order").alias("last"))
     out = params.join(edge, "__source", "left").join(cut, "__source", "left")
     out = t.write(out.select("__source", "tokens", "n", "weight", "budget", "blocks", F.coalesce("last", "prefix").alias("cut")), "plan")
-    t.drop(slim, sums, params, hashed, edge)
+    t.drop(slim, sums, params, hashed, *edges)
     return out
 
 
