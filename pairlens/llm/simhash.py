@@ -152,7 +152,7 @@ def large_keys(rows: DataFrame, make) -> DataFrame:
 
         for b in batches:
             held += [x.column(0).to_numpy() for x in make(b)]
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield out()
         if held:
             yield out()

@@ -17,7 +17,7 @@ cells of two blocks each.
 
 Nulls and edge cases: a null or empty text has no words, and all such
 documents are one group; a text of fewer words than a shingle is one shingle;
-repeated rows are one document; documents without a doc_id can't be told apart
+repeated rows are one document, and a doc_id with several texts stands for as many; documents without a doc_id can't be told apart
 and always stay; an empty table gives an empty one; all columns are kept, and
 none but doc_id and text are looked at (names that begin with "__" are reserved).
 """
@@ -206,7 +206,10 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(doc_id, component_id) of the documents with an id: the smallest id of those that links of least or more reach."""
+    """(doc_id, uid, component_id, kept) of the first document of each text, of those with an id.
+
+    component_id is the smallest id that links of least or more reach; one text of a group is kept.
+    """
     spark = docs.sparkSession
     t = Tables(spark)
     slim = ids_and_text(docs).where("doc_id is not null")
@@ -239,21 +242,39 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFr
     t.drop(large, own, pairs, others, wanted, sets)
     roots = t.write(components(spark, edges.unionByName(more)), "roots")
     t.drop(more)
-    named = t.write(reps.select("uid", "first").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
-    least_id = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(least_id, "root").select("uid", "component_id")
+    named = t.write(reps.select("uid", F.col("first").alias("doc_id")).join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
+    least_id = named.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("kept"))
     # a text's copies may be a third of all rows: only its first copy is looked up again, the others go to it
-    firsts = t.write(reps.select("uid", F.col("first").alias("doc_id")).join(ids, "uid").select("doc_id", "component_id"), "firsts")
-    t.drop(edges, roots, named)
+    firsts = named.join(least_id, "root").select("doc_id", "uid", F.col("kept.doc_id").alias("component_id"), (F.col("uid") == F.col("kept.uid")).alias("kept"))
+    firsts = t.write(firsts, "firsts")
+    t.drop(prints, reps, edges, roots, named)
     return firsts
 
 
+def _with_uid(docs: DataFrame) -> DataFrame:
+    """docs with __uid, the hash of the words."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            uid = np.asarray([xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(uid)], names=[*b.schema.names, "__uid"])
+
+    return docs.mapInArrow(run, docs.withColumn("__uid", F.lit(0).cast("long")).schema)
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; all columns are kept."""
-    keep = groups(docs, size, least).where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    """docs with one document of each group, that of the smallest doc_id; all columns are kept.
+
+    Where a doc_id has several texts, each of them is a document of its own, and the words choose among them.
+    """
+    keep = groups(docs, size, least).where("kept").select(F.col("doc_id").alias("__id"), F.col("uid").alias("__words"))
     known = docs.where("doc_id is not null")
-    again = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if again:  # a doc_id that is there twice still stands for one document
-        known = known.dropDuplicates(["doc_id"])
     hint = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
+    again = known.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    if not again.isEmpty():  # of these ids, the kept texts, once each
+        ids = known.join(hint.select("__id").distinct(), known["doc_id"] == hint["__id"], "left_semi")
+        known = _with_uid(ids).join(hint, (F.col("doc_id") == F.col("__id")) & (F.col("__uid") == F.col("__words")), "left_semi")
+        return known.dropDuplicates(["doc_id", "__uid"]).drop("__uid").unionByName(docs.where("doc_id is null"))
     return known.join(hint, known["doc_id"] == hint["__id"], "left_semi").unionByName(docs.where("doc_id is null"))

@@ -184,6 +184,41 @@ def test_shingle_groups(spark, docs, nothing):
     assert simjaccard.keep_one(nothing).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = ("one two three four five six seven " * 3, "eight nine ten eleven twelve thirteen", "entirely different words are in this one")
+    rows = [(1, a, 7), (1, b, 7), (2, b, 7), (2, c, 7), (2, c, 7), (3, a, 7)]
+    out = simjaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, a), (1, b), (2, c)]) and out.columns == ["doc_id", "text", "n"]
+
+
+def test_merges_of_templates(spark):
+    """Six templates with 150 copies each, two of a hundred words changed: nearly all merges that exact similarity makes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(6):
+        base = [f"b{k}w{x}" for x in rng.integers(0, 5000, 100)]
+        for i in range(150):
+            words = list(base)
+            for at in rng.choice(100, 2, replace=False):
+                words[at] = f"c{k}x{i}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(simjaccard.shingles(t.encode())[1].tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i // 150 * 150, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    want = sum(root(i) == i for i in range(len(rows)))
+    got = simjaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert want <= got <= want + 0.05 * (len(rows) - want), (want, got)
+
+
 def test_shingle_groups_in_boilerplate(spark):
     """Near duplicates among many siblings that share keys with them but are not similar enough."""
     rng = np.random.default_rng(5)
@@ -242,10 +277,22 @@ def test_mixing(spark, docs, nothing):
         assert abs(tokens[s] - weights[s] * total) <= 10 + 1
     assert mixing.mix(df).columns == df.columns
     assert mixing.choose(docs).count() == docs.count() and mixing.mix(nothing).count() == 0 and mixing.choose(nothing).count() == 0
+    with pytest.raises(ValueError, match="repeats every source"):
+        mixing.choose(df, budget=10 * total, max_repeats=4.0)
+    named = spark.createDataFrame([(1, None, "a b"), (2, "", "a b"), (3, "\x00", "a b"), (4, "=", "a b")], "doc_id long, source string, text string")
+    assert [r["__weight"] for r in mixing.choose(named).collect()] == [0.25] * 4
     uniform = {r.source: r["__weight"] for r in mixing.choose(df.where("source in ('a', 'b')"), entropy=9.0, max_repeats=None).collect()}
     assert uniform["a"] == pytest.approx(0.5, abs=1e-4)
 
 
+def test_mixing_by_longer_prefixes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * (1 + i % 7)) for i in range(3000)], "doc_id long, source string, text string")
+    want = sorted((r.doc_id, r["__copies"]) for r in mixing.choose(df, budget=9000).collect())
+    monkeypatch.setattr(mixing, "PREFIX_ROWS", 1)
+    monkeypatch.setattr(mixing, "LEVEL_DIGITS", 1)
+    assert sorted((r.doc_id, r["__copies"]) for r in mixing.choose(df, budget=9000).collect()) == want
+
+
 # PII
 def test_spans(spark, docs, nothing):
     text = "é mail a@b.c_d@e.f, x@y@z.w 300.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111111111111112 +1 (555) 123-4567- +12"
