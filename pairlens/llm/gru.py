@@ -16,7 +16,9 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
-WINDOW, LANES = 16, 512
+WINDOW, LANES = 32, 512
+#: Tokens whose classes are scored at once: they stay in the cache.
+BLOCK = 2048
 #: In training, longer documents are cut into parts that start with an empty state, so that no lane outlasts the others.
 SEGMENT = 1024
 RATE = 0.2
@@ -96,21 +98,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, x)
 
 
-def _log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x less the logarithms of its columns' sums of exponentials, in place, and the shares."""
+def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column: the exponentials' sum, with the exponentials in x's place, and the log-probability of entry own."""
+    every = np.arange(x.shape[1])
     x -= x.max(axis=0)
-    e = np.exp(x)
-    s = e.sum(axis=0)
-    e /= s
-    x -= np.log(s)
-    return x, e
+    lp = x[own, every]
+    np.exp(x, x)
+    s = x.sum(axis=0)
+    lp -= np.log(s)
+    return s, lp
+
+
+def _error(x: np.ndarray, s: np.ndarray, own: np.ndarray, scale: np.float32) -> np.ndarray:
+    """In place: the shares of the exponentials x, less one at own, times scale."""
+    x *= scale / s
+    x[own, np.arange(x.shape[1])] -= scale
+    return x
 
 
-def _forward(p: dict[str, np.ndarray], previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States of a window (HIDDEN, steps, lanes) and the last one; keep gets what the backward pass needs."""
+def _forward(p: dict[str, np.ndarray], previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States of a window (HIDDEN, steps, lanes) and the last one; keep gets what the backward pass needs, in the same shape."""
     n1, n2 = HIDDEN, 2 * HIDDEN
     steps, lanes = previous.shape
     out = np.empty((HIDDEN, steps, lanes), h.dtype)
+    if keep is not None:
+        keep.update({k: np.empty_like(out) for k in ("h", "z", "r", "n", "hn")})
     gx = np.ascontiguousarray(p["x"][previous.ravel()].T).reshape(3 * HIDDEN, steps, lanes)
     starts = fresh.any(axis=1)
     for t in range(steps):
@@ -125,15 +137,43 @@ def _forward(p: dict[str, np.ndarray], previous: np.ndarray, fresh: np.ndarray,
         n = _sigmoid(n)
         n *= 2
         n -= 1
+        if keep is not None:
+            keep["h"][:, t], keep["z"][:, t], keep["r"][:, t], keep["n"][:, t], keep["hn"][:, t] = h, z, r, n, hn
         new = h - n
         new *= z
         new += n
-        if keep is not None:
-            keep.append((h, z, r, n, hn))
         out[:, t] = h = new
     return out, h
 
 
+def _backward(u: np.ndarray, keep: dict, fresh: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the gates' inputs (3 HIDDEN, steps, lanes) and of u; out: those of the states."""
+    n1, n2 = HIDDEN, 2 * HIDDEN
+    h, z, r, n, hn = (keep[k] for k in ("h", "z", "r", "n", "hn"))
+    rest = 1 - z
+    to_n = rest * (1 - n * n)
+    rest *= z
+    rest *= h - n  # to z
+    to_r = (1 - r) * r
+    to_r *= hn
+    gx, gh = np.empty((3 * HIDDEN, *out.shape[1:]), out.dtype), np.empty((3 * HIDDEN, *out.shape[1:]), out.dtype)
+    back = np.zeros_like(out[:, 0])
+    starts = fresh.any(axis=1)
+    for t in range(out.shape[1] - 1, -1, -1):
+        back += out[:, t]
+        own = gh[:, t]
+        an = np.multiply(back, to_n[:, t], out=gx[n2:, t])
+        np.multiply(back, rest[:, t], out=own[:n1])
+        np.multiply(an, to_r[:, t], out=own[n1:n2])
+        np.multiply(an, r[:, t], out=own[n2:])
+        back *= z[:, t]
+        back += u.T @ own
+        if starts[t]:
+            back *= ~fresh[t]
+    gx[:n2] = gh[:n2]
+    return gx, gh.reshape(3 * HIDDEN, -1) @ h.reshape(HIDDEN, -1).T
+
+
 def _by_class(p: dict[str, np.ndarray], y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where to find the tokens, class by class: order, the class of each, and where each class begins in it."""
     edges = p["edges"]
@@ -160,20 +200,16 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
             y, d = target[part, :live].ravel(), document[part, :live].ravel()
             order, c, first = _by_class(p, y, d >= 0)
             s, y, d = states.reshape(HIDDEN, -1)[:, order], y[order], d[order]
-            x = p["wc"] @ s
-            x += p["bc"][:, None]
-            lp = x[c, np.arange(len(y))].astype(np.float64)
-            top = x.max(axis=0)
-            x -= top
-            lp -= np.log(np.exp(x, x).sum(axis=0)) + top
+            lp = np.empty(len(y))
+            for a in range(0, len(y), BLOCK):
+                x = p["wc"] @ s[:, a : a + BLOCK]
+                x += p["bc"][:, None]
+                lp[a : a + BLOCK] = _softmax(x, c[a : a + BLOCK])[1]
             for k in np.flatnonzero((first[1:] > first[:-1]) & (np.diff(edges) > 1)).tolist():
                 a, b, e, f = first[k], first[k + 1], edges[k], edges[k + 1]
                 x = p["ww"][e:f] @ s[:, a:b]
                 x += p["bw"][e:f, None]
-                lp[a:b] += x[y[a:b] - e, np.arange(b - a)]
-                top = x.max(axis=0)
-                x -= top
-                lp[a:b] -= np.log(np.exp(x, x).sum(axis=0)) + top
+                lp[a:b] += _softmax(x, y[a:b] - e)[1]
             total += np.bincount(d, weights=lp, minlength=len(docs))
     return total
 
@@ -183,66 +219,42 @@ def gradients(p: dict[str, np.ndarray], target: np.ndarray, previous: np.ndarray
 
     All windows are scaled alike, so the few lanes that outlast the others weigh no more than their tokens.
     """
-    keep: list = []
+    keep: dict = {}
     states, last = _forward(p, previous, fresh, h, keep)
     edges, scale = p["edges"], np.float32(1 / (WINDOW * LANES))
     order, c, first = _by_class(p, target.ravel(), on.ravel())
     s, y = states.reshape(HIDDEN, -1)[:, order], target.ravel()[order]
-    every = np.arange(len(y))
     g: dict[str, list] = {k: [] for k in MATRICES}
-    x = p["wc"] @ s
-    x += p["bc"][:, None]
-    x, d = _log_softmax(x)
-    total = float(x[c, every].sum())
-    d[c, every] -= 1
-    d *= scale
-    g["wc"].append((slice(None), d @ s.T))
-    g["bc"].append((slice(None), d.sum(axis=1)))
-    ds = p["wc"].T @ d
+    total, ds = 0.0, np.empty_like(s)
+    for a in range(0, len(y), BLOCK):
+        part, own = s[:, a : a + BLOCK], c[a : a + BLOCK]
+        x = p["wc"] @ part
+        x += p["bc"][:, None]
+        e, lp = _softmax(x, own)
+        total += float(lp.sum())
+        d = _error(x, e, own, scale)
+        gw, gb = (d @ part.T, d.sum(axis=1)) if not a else (gw + d @ part.T, gb + d.sum(axis=1))
+        ds[:, a : a + BLOCK] = p["wc"].T @ d
+    g["wc"].append((slice(None), gw))
+    g["bc"].append((slice(None), gb))
     for k in np.flatnonzero((first[1:] > first[:-1]) & (np.diff(edges) > 1)).tolist():
         a, b, rows = first[k], first[k + 1], slice(int(edges[k]), int(edges[k + 1]))
-        w, i = p["ww"][rows], every[: b - a]
-        x = w @ s[:, a:b]
+        w, part, own = p["ww"][rows], s[:, a:b], y[a:b] - rows.start
+        x = w @ part
         x += p["bw"][rows, None]
-        x, d = _log_softmax(x)
-        own = y[a:b] - rows.start
-        total += float(x[own, i].sum())
-        d[own, i] -= 1
-        d *= scale
-        g["ww"].append((rows, d @ s[:, a:b].T))
+        e, lp = _softmax(x, own)
+        total += float(lp.sum())
+        d = _error(x, e, own, scale)
+        g["ww"].append((rows, d @ part.T))
         g["bw"].append((rows, d.sum(axis=1)))
         ds[:, a:b] += w.T @ d
     out = np.zeros((HIDDEN, states.shape[1] * states.shape[2]), ds.dtype)
     out[:, order] = ds
     out = out.reshape(states.shape)
-    gx = np.empty((3 * HIDDEN, *states.shape[1:]), ds.dtype)
-    gu, gh = np.zeros_like(p["u"]), np.empty((3 * HIDDEN, states.shape[2]), ds.dtype)
-    back = np.zeros_like(last)
-    n1, n2 = HIDDEN, 2 * HIDDEN
-    starts = fresh.any(axis=1)
-    for t in range(len(keep) - 1, -1, -1):
-        h, z, r, n, hn = keep[t]
-        back += out[:, t]
-        q = back * z
-        an = back - q
-        an *= 1 - n * n
-        q *= 1 - z
-        q *= h - n
-        gh[:n1] = gx[:n1, t] = q
-        gx[n2:, t] = an
-        an *= r
-        gh[n2:] = an
-        an *= hn
-        an *= 1 - r
-        gh[n1:n2] = gx[n1:n2, t] = an
-        gu += gh @ h.T
-        back *= z
-        back += p["u"].T @ gh
-        if starts[t]:
-            back *= ~fresh[t]
+    gx, gu = _backward(p["u"], keep, fresh, out)
     g["u"].append((slice(None), gu))
     words = previous.ravel()
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words.astype(np.uint16) if len(p["x"]) <= 65536 else words, kind="stable")
     words = words[order]
     first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
     g["x"].append((words[first], np.add.reduceat(np.ascontiguousarray(gx.reshape(3 * HIDDEN, -1).T)[order], first, axis=0)))

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +44,13 @@ END = b"\n"
 #: Words that every task holds a table of, at most: the counts that are left are joined.
 TABLE_WORDS = 1 << 18
 #: Words that are entries of the network: those with so many occurrences, and bounds of their number (a model of MOST_WORDS has 9 MB).
-LEAST_COUNT, FEWEST_WORDS, MOST_WORDS = 2048, 1023, 16_384
+LEAST_COUNT, FEWEST_WORDS, MOST_WORDS = 8192, 1023, 16_384
 #: Documents of the warm-up, on average; and the shares of the documents, in sixteenths, that the rounds after it learn from.
 WARM_DOCS, ROUNDS = 2048, ((0, 4), (4, 16))
 #: Tokens that are put into lanes at once; models that are added at once.
 CHUNK, FAN = 1_000_000, 8
+#: Documents of more tokens are scored together at the end of a task, so that each lane is in use for long.
+LONG = 2048
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -200,15 +203,31 @@ def _network(texts: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = model.value
-        for b in batches:
-            at = 0
-            sizes = np.cumsum([len(x) // 4 for x in b.column("entries").to_pylist()])
+        later: list[pa.RecordBatch] = []
+
+        def out(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Of about CHUNK tokens at a time."""
+            at, upto = 0, np.cumsum([len(x.as_buffer()) // 4 for x in b.column("entries")])
             while at < b.num_rows:
-                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK)))
-                part = b.slice(at, upto - at)
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK)))
+                part = b.slice(at, end - at)
                 found = gru.log_likelihoods(p, [np.frombuffer(x, "<i4") for x in part.column("entries").to_pylist()]) / math.log(10)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found)], names=[*keep, "network"])
-                at = upto
+                at = end
+
+        def joined() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(later).combine_chunks().to_batches()[0]
+            later.clear()
+            return whole
+
+        for b in batches:
+            long = pa.compute.greater(b.column("n_tokens"), LONG)
+            yield from out(b.filter(pa.compute.invert(long)))
+            later.append(b.filter(long))
+            if sum(pa.compute.sum(x.column("n_tokens")).as_py() or 0 for x in later) > 2 * CHUNK:
+                yield from out(joined())
+        if sum(x.num_rows for x in later):
+            yield from out(joined())
 
     return texts.mapInArrow(run, texts.select(*keep).withColumn("network", F.lit(0.0)).schema)
 
