@@ -9,24 +9,34 @@ costs its running tasks and nothing else.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy if it has more than one row in so many; there are at most as many such keys.
 HEAVY_ONE_IN = 8192
+#: Rows that a Python worker gets at once while a table is written: rows are whole texts.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 #: Bytes that split words, as the contracts give them.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one below /tmp/checkpoints (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, which only a local master can share with its workers."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder; driver and executors need a shared one")
         path = os.path.join("/tmp/checkpoints", f"pairlens-{os.getpid()}")
         if not os.path.isdir(path):
             os.makedirs(path)
@@ -53,8 +63,13 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read again: computed once, and with no lineage."""
-        path = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = new_path(self.spark, name), self.spark.conf
+        rows = conf.get(ARROW_ROWS)
+        conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS)))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(ARROW_ROWS, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -65,6 +80,22 @@ class Tables:
                 delete(self.spark, path)
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function over Arrow batches, which at its end gives back what memory the worker holds for later tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # other C libraries
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -26,45 +26,58 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import Tables, ids_and_text
+from pairlens.llm.common import Tables, ids_and_text, tidy
 
 CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Bytes that a task's cache of words and their ids may take, about; it is emptied when full and when the task ends.
-CACHE_BYTES, ENTRY_BYTES = 96_000_000, 150
+#: Words that each of the two generations of a task's cache holds.
+CACHED_WORDS = 120_000
+
+
+@lru_cache(1)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
     """The ids of texts.  The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words in order; a test compares the two."""
+    text's ids are those of its words in order; a test compares the two.
 
-    def __init__(self, path: str, end: int = END):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+    A word's ids are kept while it is in use: when the young generation is full it becomes the old
+    one, and words that are met again come back from there.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.size, self.end = 0, array("I", [end]).tobytes()
+    def __init__(self, path: str, end: int = END):
+        self.tokenizer, self.end = _tokenizer(path), array("I", [end]).tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end id, little-endian 32 bits each."""
         split = [(t or b"").split() for t in texts]
-        if self.size > CACHE_BYTES:
-            self.words.clear()
-            self.size = 0
-        new = list({w for ws in split for w in ws}.difference(self.words))
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = {w for ws in split for w in ws}.difference(young)
+        if old:
+            known = new.intersection(old)
+            young.update((w, old[w]) for w in known)
+            new -= known
+        new = list(new)
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [array("I", e.ids).tobytes() for e in encoded]
-        self.words.update(zip(new, ids, strict=True))
-        self.size += sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
-        get = self.words.__getitem__
+        young.update(zip(new, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+        get = young.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
@@ -91,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][: len(types) - (not keep_ids)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names=names)
 
-    return ids_and_text(docs).mapInArrow(run, schema)
+    return ids_and_text(docs).mapInArrow(tidy(run), schema)
 
 
 class Complements:

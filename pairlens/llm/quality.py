@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ids_and_text
+from pairlens.llm.common import ids_and_text, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -160,7 +160,7 @@ def kept_documents(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
             i = b.schema.get_field_index("text")
             yield b.filter(pa.array([not (failed_bits(dict(zip(names, measure(t), strict=True))) & keep_bits) for t in b.column(i).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def failed_bits(m: dict[str, int]) -> int:

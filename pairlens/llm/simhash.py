@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import Tables, components, ids_and_text, keyed_join
+from pairlens.llm.common import Tables, components, ids_and_text, keyed_join, tidy
 
 BITS, SEED, RADIUS = 64, 42, 3
 BLOCK, LOCAL = 2048, 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return ids_and_text(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def keys_table(rows: DataFrame, make, schema: str) -> DataFrame:
         for b in batches:
             yield from make(b)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def large_keys(rows: DataFrame, make) -> DataFrame:
@@ -157,7 +157,7 @@ def large_keys(rows: DataFrame, make) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    return rows.mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
 
 
 def _keyed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def by_cell(rows: DataFrame, columns: list[str], found, schema: str) -> DataFram
         if kept is not None and len(kept[0]):
             yield out(kept)
 
-    return grouped.mapInArrow(run, schema)
+    return grouped.mapInArrow(tidy(run), schema)
 
 
 def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import Tables, components, ids_and_text
+from pairlens.llm.common import Tables, components, ids_and_text, tidy
 from pairlens.llm.simhash import SEED, by_cell, cells, keys_table, large_keys, segment_keys
 
 SHINGLE, LEAST = 5, 0.8
@@ -91,7 +91,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             cols = [pa.array(np.asarray(uid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j]).view(np.int64)) for j in range(WORDS64)]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "uid", "n", *[f"w{j}" for j in range(WORDS64)]])
 
-    return docs.mapInArrow(run, "doc_id long, uid long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS64)))
+    return docs.mapInArrow(tidy(run), "doc_id long, uid long, n int, " + ", ".join(f"w{j} long" for j in range(WORDS64)))
 
 
 def segment(words: np.ndarray, i: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             uid = np.asarray([xxhash.xxh3_64_intdigest(j) for j, _ in both], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array([h.view(np.int64) for _, h in both], pa.list_(pa.int64()))], names=["uid", "set"])
 
-    return docs.select("text").mapInArrow(run, "uid long, set array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "uid long, set array<long>")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -261,7 +261,7 @@ def _with_uid(docs: DataFrame) -> DataFrame:
             uid = np.asarray([xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(uid)], names=[*b.schema.names, "__uid"])
 
-    return docs.mapInArrow(run, docs.withColumn("__uid", F.lit(0).cast("long")).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn("__uid", F.lit(0).cast("long")).schema)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
