@@ -32,7 +32,10 @@ from pairlens.llm.warc import open_fs
 LEAST = 0.95
 #: Vectors in a shard at most, and shards at least.
 SHARD_ROWS, SHARDS = 65_536, 8
-AUDIT = 0.98
+#: Bytes of a shard's vectors, at most.
+SHARD_BYTES = 100_000_000
+#: Share of pairs that the audit asks for, and with how many vectors it asks, on average.
+AUDIT, AUDITED = 0.98, 256
 #: Single precision may be off by so much; double precision decides.
 SLACK = 1e-4
 
@@ -47,21 +50,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _index(vectors: DataFrame, folder: str, size: int, least: float) -> DataFrame:
-    """vectors: uid, n, shard, v.  Writes a graph for each shard; returns file names and audited recalls."""
+def _index(vectors: DataFrame, queries: np.ndarray, own: np.ndarray, folder: str, size: int, least: float) -> DataFrame:
+    """vectors: uid, n, shard, v.  Writes a graph for each shard, its beam widened by an audit with queries of all shards; returns file names and audited recalls."""
+    asked = vectors.sparkSession.sparkContext.broadcast((queries, own))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         x = _unit(_matrix(table["v"].combine_chunks(), size))
         g = Graph.build(x, table["uid"].to_numpy(), exact=x, copies=table["n"].to_numpy())
-        recall = g.audit(least, AUDIT)
+        pairs, neighbours = g.audit(least, AUDIT, *asked.value)
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
         with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
             f.write(g.dump())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name], "recall": [recall], "beam": pa.array([g.ef], pa.int32())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name], "recall": [pairs], "neighbours": [neighbours], "beam": pa.array([g.ef], pa.int32())})
 
-    return vectors.groupBy("shard").applyInArrow(run, "shard int, file string, recall double, beam int")
+    return vectors.groupBy("shard").applyInArrow(run, "shard int, file string, recall double, neighbours double, beam int")
+
+
+def _audit_queries(part: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """About AUDITED vectors of all shards, chosen by hash, and their uids: the same for every shard."""
+    rows = part.where(F.pmod(F.xxhash64("uid", F.lit(3)), F.lit(max(n, 1))) < AUDITED).select("uid", "v").collect()
+    return _unit(np.asarray([r.v for r in rows], np.float64).reshape(-1, size)), np.asarray([r.uid for r in rows], np.int64)
 
 
 def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
@@ -79,11 +89,15 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
     for size in [r.size for r in own.select("size").distinct().collect()]:  # one, in tables that hold one kind of vector
         part = own.where(F.col("size") == size)
         n = part.count()
-        shards = max(SHARDS, -(-n // SHARD_ROWS))
+        most = max(1, min(SHARD_ROWS, SHARD_BYTES // (size * 12)))  # single and double precision
+        shards = max(SHARDS, -(-n // most))
         folder = new_path(spark, "graphs")
-        done = t.write(_index(part.select("uid", "n", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"), "v"), folder, size, least), "graphs")
+        done = t.write(_index(part.select("uid", "n", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"), "v"), *_audit_queries(part, n, size), folder, size, least), "graphs")
+        if (worst := done.agg(F.min("recall")).first()[0]) is not None and worst < AUDIT:  # the beam is as wide as the shard: an error in the graph
+            raise RuntimeError(f"an audited shard finds {worst:.4f} of its pairs")
+
         files = [r.file for r in done.select("file").collect()]  # a name for each shard
-        found = t.write(_links(part.select("uid", "n", "v").repartition(max(tasks, -(-n // SHARD_ROWS))), folder, files, size, least), "links")
+        found = t.write(_links(part.select("uid", "n", "v").repartition(max(tasks, -(-n // most))), folder, files, size, least), "links")
         edges = found if edges is None else edges.unionByName(found)
     if edges is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

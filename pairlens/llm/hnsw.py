@@ -11,6 +11,8 @@ import io
 import numpy as np
 
 M, EF, EF_BUILD, EXPAND, LANES = 16, 32, 48, 4, 512
+#: Nearest neighbours that an audit asks for, and the share of them that it wants.
+NEIGHBOURS, NEAR_ENOUGH = 3, 0.95
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, width: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -178,23 +180,29 @@ class Graph:
                 todo, ef = todo[narrow], ef * 2
         return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
 
-    def audit(self, least: float, want: float, sample: int = 256) -> float:
-        """Widens the beam until the search finds the share want of what brute force finds for a sample: pairs of least or more, and nearest neighbours.  Returns the share of pairs."""
-        if not len(self.x):
-            return 1.0
-        q = np.unique(np.linspace(0, len(self.x) - 1, min(sample, len(self.x))).astype(np.int64))
-        best = 2  # itself and its nearest neighbour
-        s = self.x[q] @ self.x.T
-        top = np.argpartition(-s, min(best, s.shape[1] - 1), axis=1)[:, :best] if s.shape[1] > best else np.tile(np.arange(s.shape[1]), (len(q), 1))
+    def audit(self, least: float, want: float, queries: np.ndarray, own: np.ndarray | None = None) -> tuple[float, float]:
+        """Widens the beam until the search finds the share want of what brute force finds for queries: pairs of least or more; and NEAR_ENOUGH of the NEIGHBOURS nearest.
+
+        own: the ids of the queries; a query's pair with itself counts for nothing.  Returns both shares.
+        """
+        n = len(self.x)
+        if not n or not len(queries):
+            return 1.0, 1.0
+        q = queries.astype(np.float32)
+        s = q @ self.x.T
+        if own is not None:
+            s[own[:, None] == self.ids[None, :]] = -3
+        best = min(NEIGHBOURS, n)
+        top = np.argpartition(-s, best - 1, axis=1)[:, :best]
+        top = [t[v > -2] for t, v in zip(top, np.take_along_axis(s, top, 1), strict=True)]
         truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= least), strict=True)}
         while True:
-            r, c = self.within(self.x[q], least)
-            found = {(int(i), int(j)) for i, j in zip(r, c, strict=True)}
-            recall = len(found & truth) / max(1, len(truth))
-            ids = np.concatenate([self.search(self.x[q[a : a + LANES]], self.ef)[0] for a in range(0, len(q), LANES)])
-            knn = float(np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(ids, top, strict=True)]))
-            if min(recall, knn) >= want or self.ef >= len(self.x):
-                return recall
+            found = {(int(i), int(j)) for i, j in zip(*self.within(q, least), strict=True)}
+            recall = len(found & truth) / len(truth) if truth else 1.0
+            ids = np.concatenate([self.search(q[a : a + LANES], self.ef)[0] for a in range(0, len(q), LANES)])
+            knn = float(np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(ids, top, strict=True) if len(b)] or [1.0]))
+            if (recall >= want and knn >= NEAR_ENOUGH) or self.ef >= n:
+                return recall, knn
             self.ef *= 2
 
     def dump(self) -> bytes:
