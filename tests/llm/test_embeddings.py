@@ -10,7 +10,8 @@ def test_recall():
     x = np.concatenate([centers[rng.integers(0, 40, 1500)] + 0.15 * rng.normal(size=(1500, 32)), rng.normal(size=(500, 32))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = Graph.build(x, np.arange(len(x)))
-    g.audit(0.9, 0.98)
+    pairs, neighbours = g.audit(0.9, 0.98, x[::7], np.arange(len(x))[::7])
+    assert pairs >= 0.98 and neighbours >= 0.95
     row, node = g.within(x.astype(np.float32), 0.9)
     found = set(zip(row.tolist(), g.ids[node].tolist()))
     truth = set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.9001))))
