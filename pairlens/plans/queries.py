@@ -441,7 +441,7 @@ def split_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_fingerprint(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "doc_id", ["source"])
 
 
-@query("""SELECT item_id, sha256('{"caption":"' || replace(text, chr(10), '\\n') || '","image":"' || item_id || '.png","model":"m","protocol":"p","sample_id":"' || item_id || '"}') AS record_key FROM benchmark WHERE NOT regexp_matches(text, '["\\\\\\t\\r]')""")
+@query("""SELECT item_id, sha256(CAST(to_json({caption: text, image: item_id || '.png', model: 'm', protocol: 'p', sample_id: CAST(item_id AS VARCHAR)}) AS VARCHAR)) AS record_key FROM benchmark""")
 def record_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark")
     sid = F.col("item_id").cast("string")
@@ -518,6 +518,124 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return audit.report(labelled_texts(spark, d), "norm", "source", ["lang", "source"])
 
 
+#: Unicode's white space, for expressions that know only ASCII's.
+BLANK = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '{BLANK}+', ' ', 'g')")
+
+
+IDS = """i AS (SELECT doc_id, source, lang, source || CASE doc_id % 3 WHEN 0 THEN '_l2_fail' WHEN 1 THEN '_orig' ELSE '' END AS split,
+  CASE WHEN doc_id % 11 = 0 THEN 'golden/' ELSE '' END || source || CASE doc_id % 3 WHEN 0 THEN '_l2_fail' WHEN 1 THEN '_orig' ELSE '' END || '/document_' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '/fig' || (doc_id % 7) || '.png' END AS sid FROM documents)"""
+
+
+def ids(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as members of splits, with ids like those of figures."""
+    split = F.concat("source", F.when(F.col("doc_id") % 3 == 0, "_l2_fail").when(F.col("doc_id") % 3 == 1, "_orig").otherwise(""))
+    sid = F.concat(F.when(F.col("doc_id") % 11 == 0, "golden/").otherwise(""), split, F.lit("/document_"), "doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("/fig"), F.col("doc_id") % 7, F.lit(".png"))))
+    return table(spark, d, "documents").select("doc_id", "source", "lang", split.alias("split"), sid.alias("sid"))
+
+
+@query(f"""WITH {IDS}, p AS (SELECT *, string_split(sid, '/') AS parts, regexp_replace(sid, '^([^/]*?)(?:_l2_fail|_orig)(/|$)', '\\1\\2') AS stripped,
+  regexp_replace(CASE WHEN doc_id % 2 = 0 THEN replace(sid, '/', chr(92)) ELSE sid END, '^.*[/\\\\]|\\.[^./]*$', '', 'g') AS file,
+  regexp_replace(sid, '^.*/|\\.[^./]*$', '', 'g') AS stem FROM i)
+SELECT doc_id, stripped AS strip_group, CASE WHEN len(parts) >= 3 THEN stripped ELSE sid END AS keep_group,
+  array_to_string(list_transform(parts, lambda s: regexp_replace(s, '(?:_l2_fail|_orig)$', '')), '/') AS source_group,
+  regexp_replace(split, '(?:_l2_fail|_orig)$', '') AS domain, regexp_replace(parts[1], '(?:_l2_fail|_orig)$', '') AS id_domain, replace(replace(split, '_l2_fail', ''), '_orig', '') AS family,
+  replace(replace(split, '_l2_fail', ''), '_orig', '') || '/' || lang || '/' || sid AS figure_key, contains(lower(split), 'l2_fail') AS fails, list_contains(string_split(lower(sid), '/'), 'golden') AS holdout,
+  CASE WHEN doc_id % 4 = 0 THEN 'row-' || doc_id WHEN doc_id % 4 = 1 THEN lang ELSE sid END AS sample_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE sid END AS image,
+  CASE WHEN starts_with(stem, 'document_') THEN stem END AS document,
+  CASE WHEN parts[1] = 'golden' AND len(parts) >= 4 THEN 'golden/' || parts[2] || '/' || parts[3] || '/' || regexp_replace(parts[-1], '\\.[^.]*$', '')
+    WHEN parts[1] LIKE '%\\_orig' ESCAPE '\\' AND len(parts) >= 3 THEN parts[1] || '/' || parts[2] || '/' || regexp_replace(parts[-1], '\\.[^.]*$', '') END AS annotation,
+  regexp_replace(sid, '^((?:golden/)?[^/]*?)_orig(/)', '\\1_l2_fail\\2') AS fail_key,
+  CASE WHEN (doc_id % 10) / 10.0 >= 0.5 THEN 'PASS' ELSE 'REGENERATE' END AS verdict, CASE WHEN (doc_id % 10) / 10.0 >= 0.5 THEN 'match' ELSE 'mismatch' END AS label,
+  CASE doc_id % 4 WHEN 0 THEN doc_id % 8 = 0 WHEN 1 THEN false WHEN 2 THEN true ELSE doc_id % 2 = 0 END AS target FROM p""")
+def record_fields(spark: SparkSession, d: str) -> DataFrame:
+    c, n = F.col, F.lit(None).cast("string")
+    by4 = c("doc_id") % 4
+    word = F.when(by4 == 1, "Regenerate").when(by4 == 2, "PASS")
+    sure = keys.verdict((c("doc_id") % 10) / 10.0)
+    return ids(spark, d).select(
+        "doc_id", keys.pair_group(c("sid")).alias("strip_group"), keys.pair_group(c("sid"), "keep").alias("keep_group"), keys.source_group(n, F.when(c("doc_id") % 2 == 0, F.replace("sid", F.lit("/"), F.lit("\\"))), c("sid")).alias("source_group"),
+        keys.domain_of(c("split")).alias("domain"), keys.domain_of_id(c("sid")).alias("id_domain"), keys.family_of(c("split")).alias("family"), keys.figure_key(c("split"), c("lang"), c("sid")).alias("figure_key"),
+        keys.is_fail_split(c("split")).alias("fails"), keys.is_holdout(c("split"), c("sid")).alias("holdout"),
+        keys.sample_id_of(F.when(by4 >= 2, c("sid")).when(by4 == 1, ""), F.when(by4 == 1, c("lang")), c("doc_id")).alias("sample_id"), keys.image_of(F.when(c("doc_id") % 2 == 1, c("sid")).otherwise(""), c("lang")).alias("image"),
+        keys.document_id(n, c("sid")).alias("document"), keys.annotation_key(c("sid")).alias("annotation"), keys.fail_key(c("sid")).alias("fail_key"), sure["verdict"].alias("verdict"), sure["label"].alias("label"),
+        keys.is_match(word, F.when(by4 == 0, c("doc_id") % 8 != 0), None, (c("doc_id") % 2).cast("int")).alias("target"),
+    )
+
+
+FIGURE = r"(?i)(?:fig(?:ure)?\.?[\x09-\x0D\x20]*[0-9]+[a-z]?)[\x09-\x0D\x20]*[:.\-–—]?[\x09-\x0D\x20]*[^\n.!?]{8,200}"
+
+
+@query(f"""WITH b AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' || source || ' ' WHEN 1 THEN '' END AS caption, CASE WHEN doc_id % 3 > 0 THEN text END AS block, CASE WHEN doc_id % 2 = 0 THEN text || '  ' ELSE '' END AS premise FROM documents),
+c AS (SELECT *, {_strip("coalesce(caption, '')")} AS cap, {_strip("coalesce(block, '')")} AS bl, {_strip("coalesce(nullif(block, ''), nullif(premise, ''), '')")} AS blob FROM b),
+f AS (SELECT *, {_squeeze(f"regexp_extract(blob, '{FIGURE}')")} AS figure, {_squeeze("CASE WHEN regexp_matches(blob, '[.!?][\\x09-\\x0D\\x20]') THEN regexp_extract(blob, '(?s)^(.*?[.!?])[\\x09-\\x0D\\x20]', 1) ELSE blob END")} AS sentence FROM c)
+SELECT doc_id, {_strip("coalesce(nullif(premise, ''), nullif(bl, ''), nullif(cap, ''), '')")} AS premise, {_strip("coalesce(nullif(caption, ''), nullif(premise, ''), nullif(block, ''), '')")} AS caption,
+  left(CASE WHEN cap <> '' THEN cap WHEN figure <> '' THEN figure ELSE sentence END, 280) AS short FROM f""")
+def caption_forms(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.when(n % 4 == 0, F.concat(F.lit("  "), "source", F.lit(" "))).when(n % 4 == 1, "").alias("caption"), F.when(n % 3 > 0, F.col("text")).alias("block"), F.when(n % 2 == 0, F.concat("text", F.lit("  "))).otherwise("").alias("premise"))
+    c, b, p = F.col("caption"), F.col("block"), F.col("premise")
+    return rows.select("doc_id", keys.premise_of(c, b, p).alias("premise"), keys.caption_of(c, p, b).alias("caption"), keys.short_caption(c, b, p).alias("short"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_strip("lower(CASE doc_id % 4 WHEN 0 THEN ' Figure ' || doc_id || ' С' WHEN 1 THEN 'FIGURE' || doc_id WHEN 2 THEN 'Graphical аbstract' ELSE text END)")} AS low,
+  CASE doc_id % 3 WHEN 0 THEN '[[' || doc_id || '.5, 2]]' WHEN 1 THEN ' -' || doc_id || 'e-1' ELSE 'none' END AS raw, text FROM documents),
+t AS (SELECT *, translate(low, 'асеорху', 'aceopxy') AS r FROM r), g AS (SELECT *, contains(r, 'graphical') AND contains(r, 'abstract') AS graphical FROM t)
+SELECT doc_id, graphical, CASE WHEN NOT graphical THEN nullif(regexp_extract(r, 'figure[\\x09-\\x0D\\x20]*([0-9]+)[\\x09-\\x0D\\x20]*([a-z])?', 1), '') END AS number,
+  CASE WHEN NOT graphical THEN nullif(regexp_extract(r, 'figure[\\x09-\\x0D\\x20]*([0-9]+)[\\x09-\\x0D\\x20]*([a-z])?', 2), '') END AS panel,
+  TRY_CAST(nullif(regexp_extract(raw, '^[\\[\\x09-\\x0D\\x20]*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1), '') AS DOUBLE) AS score, {_squeeze("lower(coalesce(text, ''))")} AS spaced FROM g""")
+def references(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    ref = F.when(n % 4 == 0, F.concat(F.lit(" Figure "), n, F.lit(" С"))).when(n % 4 == 1, F.concat(F.lit("FIGURE"), n)).when(n % 4 == 2, "Graphical аbstract").otherwise(F.col("text"))
+    raw = F.when(n % 3 == 0, F.concat(F.lit("[["), n, F.lit(".5, 2]]"))).when(n % 3 == 1, F.concat(F.lit(" -"), n, F.lit("e-1"))).otherwise("none")
+    rows = table(spark, d, "documents").select("doc_id", text.figure_ref(ref).alias("f"), jsontools.score_value(raw).alias("score"), text.lower_space(F.col("text")).alias("spaced"))
+    return rows.select("doc_id", "f.graphical", "f.number", "f.panel", "score", "spaced")
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT source, sum(CASE WHEN y = 1 AND score >= 0.6 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND score >= 0.6 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN y = 1 AND score < 0.6 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND score < 0.6 THEN 1 ELSE 0 END) AS tn FROM s GROUP BY source),
+v AS (SELECT source, (tp + tn) / (tp + fp + fn + tn) AS accuracy, {sql_ratio("2 * tp", "2 * tp + fp + fn")} AS f1, {sql_ratio("2 * tn", "2 * tn + fp + fn")} AS f0 FROM m),
+u AS (SELECT unnest(['accuracy', 'macro_f1', 'min_class_f1', 'f1', 'f1_mismatch']) AS metric, unnest([accuracy, (f1 + f0) / 2, least(f1, f0), f1, f0]) AS v FROM v)
+SELECT metric, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, round(min(v), 9) AS min, round(max(v), 9) AS max FROM u GROUP BY metric""")
+def stability(spark: SparkSession, d: str) -> DataFrame:
+    """How far metrics differ between sources, as between folds."""
+    rows = scored(spark, d).withColumn("p", F.col("score") >= 0.6)
+    y, p = F.col("y") == 1, F.col("p")
+    by = rows.groupBy("source").agg(*[F.sum(c.cast("long")).alias(k) for k, c in (("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p))]).withColumns(metrics.from_confusion())
+    out = bootstrap.stability(by)
+    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query(f"""WITH {IDS}, o AS (SELECT doc_id, lang, sid, doc_id % 50 AS k FROM i WHERE doc_id % 3 = 1), f AS (SELECT DISTINCT lang, doc_id % 50 AS k FROM i WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)
+SELECT lang, k, arg_min(sid, doc_id) AS sid FROM o ANTI JOIN f USING (lang, k) GROUP BY lang, k""")
+def lone_originals(spark: SparkSession, d: str) -> DataFrame:
+    rows, n = ids(spark, d).withColumn("k", F.col("doc_id") % 50), F.col("doc_id")
+    return matching.originals_alone(rows.where(n % 3 == 1), rows.where((n % 3 == 0) & (n % 2 == 0)), ["lang", "k"], [n]).select("lang", "k", "sid")
+
+
+@query("""WITH f AS (SELECT doc_id % 200 AS k, source AS root, lang || '/' || doc_id AS path FROM documents WHERE doc_id % 3 > 0), r AS (SELECT DISTINCT source FROM documents),
+o AS (SELECT source AS root, row_number() OVER (ORDER BY source DESC) AS rank FROM r), b AS (SELECT k, arg_min(path, (rank, path)) AS first_root FROM f JOIN o USING (root) GROUP BY k),
+q AS (SELECT doc_id, doc_id % 200 AS k, ['de/' || (doc_id - 1), 'fr/' || doc_id, lang || '/' || doc_id] AS tried FROM documents), files AS (SELECT DISTINCT path FROM f),
+t AS (SELECT doc_id, unnest(tried) AS path, generate_subscripts(tried, 1) AS i FROM q), h AS (SELECT doc_id, arg_min(path, i) AS resolved FROM t JOIN files USING (path) GROUP BY doc_id)
+SELECT q.doc_id, first_root, resolved FROM q LEFT JOIN b USING (k) LEFT JOIN h USING (doc_id)""")
+def resolved_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files by the first root that has their key, and by the first candidate path that exists."""
+    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 200)
+    roots = sorted((r.source for r in docs.select("source").distinct().collect()), reverse=True)  # a few names
+    files = docs.where("doc_id % 3 > 0").select("k", F.col("source").alias("root"), F.concat_ws("/", "lang", "doc_id").alias("path"))
+    one = matching.first_preferred(files, ["k", "root"], [F.col("path")])
+    tried = F.array(F.concat(F.lit("de/"), F.col("doc_id") - 1), F.concat(F.lit("fr/"), "doc_id"), F.concat_ws("/", "lang", "doc_id"))
+    found = matching.first_root(docs.select("doc_id", "k", "lang"), one, "k", "root", roots).withColumnRenamed("resolved", "first_root")
+    return matching.resolve(found, tried, files, "doc_id").select("doc_id", "first_root", "resolved")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of labelled documents at the best balanced threshold of their score."""
     return thresholds.best_balanced(scored(spark, d))
