@@ -1,9 +1,14 @@
-"""Bootstrap intervals: draws come from hashes of replicate and key, so they are the same everywhere.
+"""Bootstrap intervals.
 
-A row's multiplicity in a replicate is drawn from the Poisson distribution with
-mean 1, which is the bootstrap in the limit of many rows and needs no shuffle:
-every row meets every replicate where it is, and counts are summed before they
-move.  Replicates without rows of a class are left out of its intervals.
+Rows: a replicate draws as many rows of each class as there are, with
+replacement, so the confusion counts of a class are a multinomial draw over the
+counts of the rows as they are.  Rows are counted once, whatever the number of
+replicates, and what the draws need is four numbers, or eight for two predictors.
+
+Groups: a group's multiplicity in a replicate is drawn from the Poisson
+distribution with mean 1 by a hash of replicate and key, which is the bootstrap
+in the limit of many groups and needs no shuffle; class sizes float with the groups.
+Replicates without rows of a class are left out of its intervals.
 """
 
 from __future__ import annotations
@@ -48,29 +53,52 @@ def intervals(samples: DataFrame, metrics: list[str] | None = None, level: float
     return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.get(m, 0).alias("low"), F.get(m, 1).alias("high")) for m in metrics])).alias("x")).select("x.*")
 
 
-def confidence_intervals(rows: DataFrame, key: str, y: str = "y", predicted: str = "predicted", n: int = 1000, seed: int = 42) -> DataFrame:
-    return intervals(replicates(rows, key, y, predicted, n, seed))
+def stratified(rows: DataFrame, y: str, predicted: list[str], n: int, seed: int) -> DataFrame:
+    """replicate and, for each predictor i, {i}_tp, {i}_fp, {i}_fn and {i}_tn, with the class sizes that rows have."""
+    import numpy as np
+
+    spark = rows.sparkSession
+    flags = [F.col(c).cast("boolean").alias(f"f{i}") for i, c in enumerate([y, *predicted])]
+    counts = {tuple(r[:-1]): r[-1] for r in rows.select(*flags).groupBy(*[f"f{i}" for i in range(len(flags))]).count().collect()}  # a row for each combination
+    rng = np.random.default_rng(seed)
+    drawn = {}
+    for label in (False, True):
+        cells = sorted(k for k in counts if k[0] is label and None not in k)
+        size = sum(counts[k] for k in cells)
+        if size:
+            drawn[label] = cells, rng.multinomial(size, [counts[k] / size for k in cells], n)
+    columns = {}
+    for i in range(len(predicted)):
+        for name, label, said in (("tp", True, True), ("fp", False, True), ("fn", True, False), ("tn", False, False)):
+            cells, draws = drawn.get(label, ([], np.zeros((n, 0), np.int64)))
+            columns[f"{i}_{name}"] = draws[:, [j for j, k in enumerate(cells) if k[i + 1] is said]].sum(axis=1)
+    values = [tuple(map(int, x)) for x in zip(range(n), *columns.values(), strict=True)]
+    return spark.createDataFrame(values, ", ".join(f"`{c}` long" for c in ["replicate", *columns]))
+
+
+def _of(samples: DataFrame, i: int) -> DataFrame:
+    return samples.select("replicate", *[F.col(f"{i}_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")]).withColumns(from_confusion())
+
+
+def confidence_intervals(rows: DataFrame, y: str = "y", predicted: str = "predicted", n: int = 1000, seed: int = 42) -> DataFrame:
+    return intervals(_of(stratified(rows, y, [predicted], n, seed), 0))
 
 
 def group_intervals(rows: DataFrame, group: str, y: str = "y", predicted: str = "predicted", n: int = 1000, seed: int = 42) -> DataFrame:
     return intervals(replicates(rows, group, y, predicted, n, seed))
 
 
-def paired_deltas(rows: DataFrame, key: str, y: str, first: str, second: str, n: int = 1000, seed: int = 42) -> DataFrame:
+def paired_deltas(rows: DataFrame, y: str, first: str, second: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """metric, delta (second less first on the rows as they are), low and high, both predictors on the same draws."""
-    both = lambda df: df.agg(*_weighted(df, y, first, "a_"), *_weighted(df, y, second, "b_"))
 
-    def deltas(df: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            m = df.select("*", *[F.col(f"{side}_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")]).withColumns(from_confusion())
-            df = m.select(*df.columns, *[F.col(x).alias(f"{side}:{x}") for x in METRICS])
-        return df.select(*[(F.col(f"b:{x}") - F.col(f"a:{x}")).alias(x) for x in METRICS])
+    def deltas(samples: DataFrame) -> DataFrame:
+        one, two = (_of(samples, i).select("replicate", *[F.col(m).alias(f"{i}:{m}") for m in METRICS]) for i in (0, 1))
+        return one.join(two, "replicate").select(*[(F.col(f"1:{m}") - F.col(f"0:{m}")).alias(m) for m in METRICS])
 
-    drawn = rows.select(key, y, first, second, _replicates(n)).withColumn("w", multiplicity(F.col(key), F.col("replicate"), seed)).where("w > 0")
-    low_high = intervals(deltas(drawn.groupBy("replicate").agg(*_weighted(drawn, y, first, "a_"), *_weighted(drawn, y, second, "b_"))))
-    point = deltas(both(rows.withColumn("w", F.lit(1))))
+    own = rows.withColumn("w", F.lit(1))
+    point = deltas(own.agg(*_weighted(own, y, first, "0_"), *_weighted(own, y, second, "1_")).withColumn("replicate", F.lit(0)))
     point = point.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in METRICS])).alias("x")).select("x.*")
-    return point.join(low_high, "metric")
+    return point.join(intervals(deltas(stratified(rows, y, [first, second], n, seed))), "metric")
 
 
 def stability(per_fold: DataFrame, metrics: list[str] | None = None) -> DataFrame:

@@ -465,7 +465,7 @@ def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).withColumn("predicted", F.col("score") >= 0.6)
-    return bootstrap.confidence_intervals(rows, "doc_id", n=200)
+    return bootstrap.confidence_intervals(rows)
 
 
 @query()

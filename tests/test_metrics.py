@@ -78,11 +78,19 @@ def test_hinge(spark):
 
 def test_bootstrap(spark):
     df = spark.createDataFrame([(i, i % 2, i % 2, 1) for i in range(6)], "id int, y int, good int, flat int")
-    d = {r.metric: r for r in bootstrap.paired_deltas(df, "id", "y", "flat", "good", n=50).collect()}
+    d = {r.metric: r for r in bootstrap.paired_deltas(df, "y", "flat", "good", n=50).collect()}
     assert d["accuracy"].delta == pytest.approx(0.5) and d["f1"].delta > 0
-    a = {r.metric: (r.low, r.high) for r in bootstrap.confidence_intervals(df, "id", predicted="good", n=50).collect()}
-    b = {r.metric: (r.low, r.high) for r in bootstrap.confidence_intervals(df, "id", predicted="good", n=50).collect()}
+    a = {r.metric: (r.low, r.high) for r in bootstrap.confidence_intervals(df, predicted="good", n=50).collect()}
+    b = {r.metric: (r.low, r.high) for r in bootstrap.confidence_intervals(df, predicted="good", n=50).collect()}
     assert a == b and a["accuracy"] == (1.0, 1.0)
+    rows = spark.createDataFrame([(int(i % 4 > 0), int(i % 3 > 0)) for i in range(400)], "y int, predicted int")
+    drawn = bootstrap.stratified(rows, "y", ["predicted"], 300, 1).collect()
+    assert {(r["0_tp"] + r["0_fn"], r["0_fp"] + r["0_tn"]) for r in drawn} == {(300, 100)}  # class sizes are kept
+    tp = [r["0_tp"] for r in drawn]
+    real = rows.where("y = 1 and predicted = 1").count()
+    assert abs(sum(tp) / 300 - real) < 2 and 5 < (max(tp) - min(tp)) < 80
+    alone = spark.createDataFrame([(1, 1), (1, 0)], "y int, predicted int")
+    assert bootstrap.stratified(alone, "y", ["predicted"], 5, 1).count() == 5
 
 
 def test_grouped_split(spark):
