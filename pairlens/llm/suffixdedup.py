@@ -1,7 +1,7 @@
-"""Exact removal of repeated byte strings by prefix-free parsing, spread over shards.
+"""Exact removal of repeated byte strings by parsing into phrases, in the manner of prefix-free parsing, spread over shards.
 
 A document is parsed at triggers: in each window of LENGTH bytes the k-gram
-with the smallest rolling hash.  Consecutive windows with the same trigger form
+with the smallest hash.  Consecutive windows with the same trigger form
 a phrase, the bytes from the start of the first to the end of the last.  Equal
 windows have equal triggers at equal places, so whatever repeats is found
 within the phrases of one trigger, and the parse is shift-resistant.
