@@ -215,12 +215,15 @@ def cells(keyed: DataFrame, counts: DataFrame, own: str) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "g", "own", "other")
 
 
-def by_cell(rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
-    """found(cell, *columns) over whole cells, a batch of them at a time; cell numbers them, rows of a cell are next to each other."""
+def by_cell(rows: DataFrame, columns: list[str], found, schema: str, joined=None) -> DataFrame:
+    """found(cell, *columns) over whole cells, a batch of them at a time; cell numbers them, rows of a cell are next to each other.
+
+    joined makes one batch of several, so that a task gives what it found as few rows.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = rows.select("key", "i", "j", *columns).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
             new = np.ones(len(cols[0]), bool)
             new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
@@ -238,6 +241,20 @@ def by_cell(rows: DataFrame, columns: list[str], found, schema: str) -> DataFram
         if kept is not None and len(kept[0]):
             yield out(kept)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in each(batches):
+            held.append(b)
+            if joined and sum(x.num_rows for x in held) > 1_000_000:
+                held = [joined(held)]
+                if held[0].num_rows <= 500_000:
+                    continue
+            if not joined or held[0].num_rows > 500_000:
+                yield from held
+                held = []
+        if held:
+            yield joined(held)
+
     return grouped.mapInArrow(tidy(run), schema)
 
 

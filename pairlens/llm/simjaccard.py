@@ -5,11 +5,15 @@ bits, too many for keys over all of 64 bits.  Here fingerprints are longer:
 eleven segments of 23 bits, each with the codewords near its 1-bit ball as
 keys, and the key of a pair of neighbouring segments is a codeword of each.
 Two such documents share one of the ten pairs' keys in more than 96 of 100
-cases at 0.8 and in 99.9 at 0.9.  All pairs with a key in common whose sketch,
-64 more bits, is close enough (at 0.8 all but 3 in 10,000 are) are verified by
-their shingle sets, but those that are in one group by then: a first round
-verifies the NEAREST of each document and links them, a second round all other
-pairs of different groups.
+cases at 0.8 and in 99.9 at 0.9.
+
+Pairs are never listed.  Rows with a key in common whose sketches, 128 bits
+beside the key, are close enough (at 0.8 all but 3 in 10,000 are) are joined
+into a forest, a row for each but the first of them, and the forests' components
+are sets of candidates.  Within these sets all pairs of similarity LEAST or more
+are found exactly, by the prefix filter over shingles from rare to frequent, and
+again only a forest of them leaves the task.  A set beyond SET_SHINGLES or
+SET_TEXTS is cut into blocks, and each two blocks are compared in a task.
 
 Texts with the same words are one from the start.  What a key's group gives is
 linear in its size, and groups of more than simhash.BLOCK documents are compared in
@@ -25,19 +29,21 @@ none but doc_id and text are looked at (names that begin with "__" are reserved)
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import Tables, components, ids_and_text, tidy
-from pairlens.llm.simhash import SEED, by_cell, cells, keys_table, large_keys, segment_keys
+from pairlens.llm.common import Tables, components, ids_and_text, keyed_join, tidy
+from pairlens.llm.simhash import SEED, by_cell, cells, forest, keys_table, large_keys, segment_keys
 
 SHINGLE, LEAST = 5, 0.8
-SEGMENTS, NEAREST, SKETCH_BITS = 11, 4, 20
-WORDS64 = 5  # four for the segments, one for the sketch
+SEGMENTS, SKETCH_BITS = 11, 34
+WORDS64 = 5  # four for the segments, one for sketches alone
+#: Shingles and texts of a block of candidates; a task compares two blocks at a time.
+SET_SHINGLES, SET_TEXTS = 500_000, 4096
+PAIRS, LOOKUPS = 50_000, 2_000_000
 BROADCAST_IDS = 1_000_000
 
 
@@ -120,57 +126,20 @@ def _keyed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, b.num_rows, 4096):
         part = b.slice(at, 4096)
         words = np.stack([part.column(f"w{j}").to_numpy() for j in range(WORDS64)], axis=1).view(np.uint64)
-        uid, sketch = part.column("uid").to_numpy(), np.ascontiguousarray(words[:, -1]).view(np.int64)
-        for row, key in pair_keys(words):
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(uid[row]), pa.array(sketch[row])], names=["key", "uid", "sketch"])
-
+        uid, sketch = part.column("uid").to_numpy(), np.ascontiguousarray(words.T).view(np.int64)
+        for i, (row, key) in enumerate(pair_keys(words)):
+            # the second half of the sketch is a word of the fingerprint that has no bit of this key
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *[pa.array(c[row]) for c in (uid, sketch[-1], sketch[3 if i < 5 else 0])]], names=["key", "uid", "sketch", "more"])
 
-def _keyed_again(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """As _keyed, with the root and the number of shingles."""
-    for at in range(0, b.num_rows, 4096):
-        part = b.slice(at, 4096)
-        words = np.stack([part.column(f"w{j}").to_numpy() for j in range(WORDS64)], axis=1).view(np.uint64)
-        uid, root, size, sketch = *(part.column(c).to_numpy() for c in ("uid", "root", "n")), np.ascontiguousarray(words[:, -1]).view(np.int64)
-        for row, key in pair_keys(words):
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *[pa.array(c[row]) for c in (uid, sketch, root, size)]], names=["key", "uid", "sketch", "root", "size"])
 
+def _forest(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = forest(*map(np.concatenate, zip(*parts, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def nearest_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    """For each row of a cell, up to NEAREST of the rows before it whose sketch is closest, within SKETCH_BITS.
 
-    A row that no later row names so comes with one of those that it is close to: every row that is close to another is in a pair.
-    """
-    u = sketch.view(np.uint64)
-    n = len(u)
-    best = np.full((n, NEAREST), 99, np.int64)  # differing bits, ascending
-    who = np.full((n, NEAREST), -1, np.int64)
-    mate = np.full(n, -1, np.int64)
-    at = np.arange(n)
-    for d in range(1, n):
-        at = at[at < n - d]
-        at = at[cell[at] == cell[at + d]]
-        if not len(at):
-            break
-        bits = np.bitwise_count(u[at] ^ u[at + d]).astype(np.int64)
-        near = at[bits <= SKETCH_BITS]
-        mate[near] = np.where(mate[near] < 0, near + d, mate[near])
-        ok = (bits <= SKETCH_BITS) & (bits < best[at + d, -1])
-        row, bits, other = at[ok] + d, bits[ok], at[ok]
-        best[row, -1], who[row, -1] = bits, other
-        order = np.argsort(best[row], axis=1, kind="stable")
-        best[row], who[row] = np.take_along_axis(best[row], order, 1), np.take_along_axis(who[row], order, 1)
-    row, k = np.nonzero(who >= 0)
-    named = np.zeros(n, bool)
-    named[row] = named[who[row, k]] = True
-    left = np.flatnonzero(~named & (mate >= 0))
-    bits = np.concatenate([best[row, k], np.bitwise_count(u[left] ^ u[mate[left]])]).astype(np.int32)
-    a, b = uid[np.concatenate([row, left])], uid[np.concatenate([who[row, k], mate[left]])]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits)], names=["a", "b", "bits"])
-
-
-def other_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray, root: np.ndarray, size: np.ndarray, least: float = LEAST) -> pa.RecordBatch:
-    """All pairs of a cell within SKETCH_BITS whose roots differ and whose numbers of shingles allow a similarity of least."""
-    u = sketch.view(np.uint64)
+def candidates(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A forest of the pairs of a cell whose sketches differ in SKETCH_BITS or fewer."""
+    u, v = sketch.view(np.uint64), more.view(np.uint64)
     found = [(uid[:0], uid[:0])]
     at = np.arange(len(u))
     for d in range(1, len(u)):
@@ -178,19 +147,118 @@ def other_pairs(cell: np.ndarray, uid: np.ndarray, sketch: np.ndarray, root: np.
         at = at[cell[at] == cell[at + d]]
         if not len(at):
             break
-        x, y = at, at + d
-        ok = (root[x] != root[y]) & (np.bitwise_count(u[x] ^ u[y]) <= SKETCH_BITS) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
-        if ok.any():
-            found.append((uid[x[ok]], uid[y[ok]]))
-    a, b = map(np.concatenate, zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        near = at[np.bitwise_count(u[at] ^ u[at + d]) + np.bitwise_count(v[at] ^ v[at + d]) <= SKETCH_BITS]
+        found.append((uid[near], uid[near + d]))
+        if sum(len(x) for x, _ in found) > 500_000:
+            found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
+    return _forest(found)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One forest of several."""
+    return _forest([(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches])
+
+
+def similar_within(cell: np.ndarray, size: np.ndarray, flat: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of rows of one cell whose sets have a similarity of least or more; flat: the sets of all rows, one after another.
+
+    Each set is sorted from rare to frequent elements.  Similar sets share one of the first size - least * size + 1,
+    so only rows that meet in these are compared, and only those that no links connect yet.
+    """
+    n = len(cell)
+    row = np.repeat(np.arange(n), size)
+    _, code, df = np.unique(flat + cell.astype(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+    by_df = np.argsort(df, kind="stable")
+    rank = np.empty(len(df), np.int64)
+    rank[by_df] = np.arange(len(df))
+    places = np.sort(row * len(df) + rank[code])  # row by row, rare to frequent
+    code = places - row * len(df)
+    start = np.cumsum(size) - size
+    prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    m = (np.arange(len(row)) - start[row] < prefix[row]) & (df[by_df][code] > 1)
+    order = np.argsort(code[m], kind="stable")
+    who, what = row[m][order], code[m][order]
+    up = np.arange(n)
+    held: list[np.ndarray] = []
+
+    def verify() -> None:
+        """The held pairs as links in up."""
+        nonlocal up
+        pairs = np.unique(np.concatenate(held))
+        held.clear()
+        x, y = pairs // n, pairs % n
+        x, y = (z[up[x] != up[y]] for z in (x, y))
+        a, b = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        ends = np.cumsum(size[a])
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKUPS, "right")))
+            p, q = a[at:to], b[at:to]
+            each = size[p]
+            first = np.cumsum(each) - each
+            own = code[np.repeat(start[p] - first, each) + np.arange(int(each.sum()))]
+            sought = np.repeat(q, each) * len(df) + own
+            found = places[np.minimum(np.searchsorted(places, sought), len(places) - 1)] == sought
+            common = np.add.reduceat(found.astype(np.int64), first)
+            ok = common >= least * (size[p] + size[q] - common)
+            if ok.any():
+                rest = np.flatnonzero(up != np.arange(n))
+                nodes, roots = forest(np.concatenate([p[ok], rest]), np.concatenate([q[ok], up[rest]]))
+                up = np.arange(n)
+                up[nodes] = roots
+            at = to
+
+    at = np.arange(len(who))
+    for d in range(1, len(who)):
+        at = at[at < len(who) - d]
+        at = at[what[at] == what[at + d]]
+        if not len(at):
+            break
+        x, y = who[at], who[at + d]
+        ok = (up[x] != up[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]) - 1e-9)
+        held.append(np.minimum(x, y)[ok] * n + np.maximum(x, y)[ok])
+        if sum(map(len, held)) > PAIRS:
+            verify()
+    if held:
+        verify()
+    rest = np.flatnonzero(up != np.arange(n))
+    return rest, up[rest]
+
+
+def _linked(rows: DataFrame, least: float) -> DataFrame:
+    """rows of root, i, j, uid, set: forests (a, b) of the similar texts of whole cells (root, i, j)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["root", "i", "j", "uid"]
+    grouped = rows.select(*names, "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[np.ndarray] = [np.zeros(0, np.int64)] * (len(names) + 1)
+        flat: list[np.ndarray] = []
+
+        def out(n: int) -> pa.RecordBatch:
+            """Links of the first n rows, which are given up."""
+            root, i, j, uid, size = (c[:n] for c in cols)
+            new = np.append(True, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            both = np.concatenate(flat)
+            upto = int(size.sum())
+            flat[:] = [both[upto:]]
+            cols[:] = [c[n:] for c in cols]
+            a, b = similar_within(np.cumsum(new), size, both[:upto].view(np.uint64), least)
+            return pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b])], names=["a", "b"])
+
+        for b in batches:
+            sets = b.column("set")
+            more = [*[b.column(c).to_numpy().astype(np.int64) for c in names], np.diff(sets.offsets.to_numpy()).astype(np.int64)]
+            cols[:] = [np.concatenate(x) for x in zip(cols, more, strict=True)]
+            flat.append(sets.flatten().to_numpy())
+            if sum(map(len, flat)) > SET_SHINGLES:
+                last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+                if cut := int(np.argmax(last)):
+                    yield out(cut)
+        if len(cols[0]):
+            yield out(len(cols[0]))
+
+    return grouped.mapInArrow(tidy(run), "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -218,30 +286,26 @@ def groups(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFr
     reps = t.write(prints.groupBy("uid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]), "texts")
     own = reps.select("uid", *words)
     large = t.write(large_keys(own, _keyed).withColumn("key", F.col("key").cast("int")), "large")
-    keyed = keys_table(own, _keyed, "key int, uid long, sketch long")
-    offered = by_cell(cells(keyed, large, "uid"), ["uid", "sketch"], nearest_pairs, "a long, b long, bits int").distinct()
-    # the first round: over all keys, each text names its nearest; every text that is in any pair is in one of these
-    place = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("bits", other))
-    offered = offered.withColumn("at_a", place("a", "b")).withColumn("at_b", place("b", "a"))
-    pairs = t.write(offered.where((F.col("at_a") <= NEAREST) | (F.col("at_b") <= NEAREST)).select("a", "b"), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(reps, "uid").withColumnRenamed("first", "doc_id")
-    wanted = t.write(wanted, "wanted")
-    ids = wanted.select("doc_id")
-    hint = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    keyed = keys_table(own, _keyed, "key int, uid long, sketch long, more long")
+    near = t.write(by_cell(cells(keyed, large, "uid"), ["uid", "sketch", "more"], candidates, "a long, b long", _joined), "candidates")
+    t.drop(large)
+    roots = t.write(components(spark, near), "sets_of_candidates")
+    t.drop(near)
+    wanted = t.write(roots.withColumnRenamed("node", "uid").join(reps.select("uid", "first", F.col("n").alias("size")), "uid"), "wanted")
+    t.drop(roots)
+    blocks = F.ceil(F.greatest(F.sum("size") / SET_SHINGLES, F.count("*") / SET_TEXTS, F.lit(1))).cast("int")
+    per_set = t.write(wanted.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "per_set")
+    rows = wanted.count()
+    placed = keyed_join(wanted.select("root", "uid"), per_set, "root", rows, "inner", spread=F.col("uid"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, blocks - 1), x -> x != own)"))
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    hint = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
     sets = t.write(_shingle_sets(slim.join(hint, "doc_id", "left_semi"), size).dropDuplicates(["uid"]), "sets")
-    edges = t.write(_verified(pairs, sets, least), "edges")
+    placed = placed.join(sets, "uid").withColumn("other", F.explode(others))
+    edges = t.write(_linked(placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "set"), least), "edges")
+    t.drop(wanted, per_set, sets)
     roots = t.write(components(spark, edges), "roots")
-    # the second round: all other pairs with a key in common, but those that the first round put into one group
-    own = t.write(wanted.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), "n", *words), "active")
-    t.drop(large, roots)
-    large = t.write(large_keys(own, _keyed).withColumn("key", F.col("key").cast("int")), "large")
-    keyed = keys_table(own, _keyed_again, "key int, uid long, sketch long, root long, size int")
-    others = by_cell(cells(keyed, large, "uid"), ["uid", "sketch", "root", "size"], partial(other_pairs, least=least), "a long, b long").distinct()
-    others = t.write(others.join(pairs, ["a", "b"], "left_anti"), "others")
-    more = t.write(_verified(others, sets, least), "more")
-    t.drop(large, own, pairs, others, wanted, sets)
-    roots = t.write(components(spark, edges.unionByName(more)), "roots")
-    t.drop(more)
     named = t.write(reps.select("uid", F.col("first").alias("doc_id")).join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
     least_id = named.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("kept"))
     # a text's copies may be a third of all rows: only its first copy is looked up again, the others go to it

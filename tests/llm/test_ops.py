@@ -236,30 +236,59 @@ def test_shingle_groups_in_boilerplate(spark):
         rows.append(words)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     sets = [set(simjaccard.shingles(t.encode())[1].tolist()) for _, t in rows]
-    bits = np.array([simjaccard._bits(np.array(sorted(x), np.uint64)) for x in sets])
-    keys = [set() for _ in rows]
-    for row, key in simjaccard.pair_keys(bits):
-        for r, k in zip(row.tolist(), key.tolist(), strict=True):
-            keys[r].add(k)
-    sketch = lambda i, j: int(np.bitwise_count(bits[i, -1] ^ bits[j, -1])) <= simjaccard.SKETCH_BITS
-    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and bool(keys[i] & keys[j]) and sketch(i, j)
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     label = _reach(len(rows), close)
     got = {r.doc_id: r.component_id for r in simjaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: rows[label[i]][0] for i in range(len(rows))}
     assert sum(got[400 + i] == got[i] for i in range(60)) >= 57
 
 
-def test_all_pairs_of_a_cell():
+def test_shingle_groups_over_blocks(spark, monkeypatch):
+    """Candidates cut into many blocks give the groups that one block gives."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 8)), replace=False):
+            words[at] = f"s{i}x{at}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simjaccard.groups(df).collect()}
+    monkeypatch.setattr(simjaccard, "SET_SHINGLES", 4000)
+    assert {r.doc_id: r.component_id for r in simjaccard.groups(df).collect()} == want
+    sets = [set(simjaccard.shingles(t.encode())[1].tolist()) for _, t in rows]
+    label = _reach(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert want == {i: label[i] for i in range(len(rows))}
+
+
+def test_candidates_of_a_cell():
     rng = np.random.default_rng(1)
     n = 60
-    sketch = (rng.integers(0, 2**20, n) << 3).astype(np.int64)
-    cell, root, size = np.repeat([0, 1], n // 2), rng.integers(0, 9, n), rng.integers(90, 130, n)
-    near = [(i, j) for i in range(n) for j in range(i + 1, n) if cell[i] == cell[j] and int(sketch[i] ^ sketch[j]).bit_count() <= simjaccard.SKETCH_BITS]
-    want = {(i, j) for i, j in near if root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
-    out = simjaccard.other_pairs(cell, np.arange(n), sketch, root, size).to_pydict()
-    assert set(zip(out["a"], out["b"], strict=True)) == want
-    first = simjaccard.nearest_pairs(cell, np.arange(n), sketch).to_pydict()
-    assert set(first["a"]) | set(first["b"]) == {x for p in near for x in p}
+    sketch, more = ((rng.integers(0, 2**34, n) << 3).astype(np.int64) for _ in range(2))
+    cell = np.repeat([0, 1], n // 2)
+    near = lambda i, j: cell[i] == cell[j] and int(sketch[i] ^ sketch[j]).bit_count() + int(more[i] ^ more[j]).bit_count() <= simjaccard.SKETCH_BITS
+    label = _reach(n, near)
+    got = simjaccard.candidates(cell, np.arange(n), sketch, more).to_pydict()
+    assert dict(zip(got["a"], got["b"], strict=True)) == {i: x for i, x in enumerate(label) if i != x}
+
+
+def test_similar_sets_like_brute_force(monkeypatch):
+    monkeypatch.setattr(simjaccard, "PAIRS", 50)
+    monkeypatch.setattr(simjaccard, "LOOKUPS", 100)
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n = int(rng.integers(1, 50))
+        bases = [rng.integers(0, 400, 40) for _ in range(3)]
+        sets = []
+        for _ in range(n):
+            x = set(bases[rng.integers(0, 3)][: rng.integers(1, 41)].tolist())
+            sets.append({y if rng.random() > 0.06 else int(rng.integers(0, 400)) for y in x} if rng.random() > 0.1 else set())
+        cell = np.sort(rng.integers(0, 3, n))
+        label = _reach(n, lambda i, j: cell[i] == cell[j] and bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+        flat = np.array([y for x in sets for y in sorted(x)], np.uint64)
+        a, b = simjaccard.similar_within(cell, np.array([len(x) for x in sets]), flat)
+        assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: x for i, x in enumerate(label) if i != x}, trial
 
 
 # mixing
