@@ -43,7 +43,7 @@ SEGMENTS, SKETCH_BITS = 11, 34
 WORDS64 = 5  # four for the segments, one for sketches alone
 #: Shingles and texts of a block of candidates; a task compares two blocks at a time.
 SET_SHINGLES, SET_TEXTS = 500_000, 4096
-PAIRS, LOOKUPS = 50_000, 2_000_000
+PAIRS, LOOKUPS, BITMAP = 50_000, 2_000_000, 64_000_000
 BROADCAST_IDS = 1_000_000
 
 
@@ -181,6 +181,25 @@ def similar_within(cell: np.ndarray, size: np.ndarray, flat: np.ndarray, least:
     up = np.arange(n)
     held: list[np.ndarray] = []
 
+    def elements(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of rows, one after another, and where each row's begin."""
+        each = size[rows]
+        first = np.cumsum(each) - each
+        return code[np.repeat(start[rows] - first, each) + np.arange(int(each.sum()))], first
+
+    def bitmaps(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """rows, and for each a bit for every element that two of them have, where that is less work than looking elements up."""
+        own, _ = elements(rows)
+        _, inv, times = np.unique(own, return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        words = int(number[-1]) // 64 + 1
+        if words * 64 * len(rows) > BITMAP or words > size[rows].mean():
+            return None
+        own_row = np.repeat(np.arange(len(rows)), size[rows])[times[inv] > 1]
+        dense = np.zeros((len(rows), words * 64), bool)
+        dense[own_row, number[inv[times[inv] > 1]]] = True
+        return rows, np.packbits(dense, axis=1).view(np.uint64)
+
     def verify() -> None:
         """The held pairs as links in up."""
         nonlocal up
@@ -189,17 +208,23 @@ def similar_within(cell: np.ndarray, size: np.ndarray, flat: np.ndarray, least:
         x, y = pairs // n, pairs % n
         x, y = (z[up[x] != up[y]] for z in (x, y))
         a, b = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
-        ends = np.cumsum(size[a])
+        if not len(a):
+            return
+        shared = bitmaps(np.unique(np.concatenate([a, b])))
+        cost = np.full(len(a), shared[1].shape[1]) if shared else size[a]
+        ends = np.cumsum(cost)
         at = 0
         while at < len(a):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKUPS, "right")))
             p, q = a[at:to], b[at:to]
-            each = size[p]
-            first = np.cumsum(each) - each
-            own = code[np.repeat(start[p] - first, each) + np.arange(int(each.sum()))]
-            sought = np.repeat(q, each) * len(df) + own
-            found = places[np.minimum(np.searchsorted(places, sought), len(places) - 1)] == sought
-            common = np.add.reduceat(found.astype(np.int64), first)
+            if shared:
+                rows, bits = shared
+                common = np.bitwise_count(bits[np.searchsorted(rows, p)] & bits[np.searchsorted(rows, q)]).sum(1, dtype=np.int64)
+            else:
+                own, first = elements(p)
+                sought = np.repeat(q, size[p]) * len(df) + own
+                found = places[np.minimum(np.searchsorted(places, sought), len(places) - 1)] == sought
+                common = np.add.reduceat(found.astype(np.int64), first)
             ok = common >= least * (size[p] + size[q] - common)
             if ok.any():
                 rest = np.flatnonzero(up != np.arange(n))

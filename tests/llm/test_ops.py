@@ -277,7 +277,8 @@ def test_similar_sets_like_brute_force(monkeypatch):
     monkeypatch.setattr(simjaccard, "PAIRS", 50)
     monkeypatch.setattr(simjaccard, "LOOKUPS", 100)
     rng = np.random.default_rng(3)
-    for trial in range(40):
+    for trial in range(80):
+        monkeypatch.setattr(simjaccard, "BITMAP", 64_000_000 if trial % 2 else 0)
         n = int(rng.integers(1, 50))
         bases = [rng.integers(0, 400, 40) for _ in range(3)]
         sets = []
