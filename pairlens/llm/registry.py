@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pairlens.llm import embeddings, linededup, lmscore, mixing, packing, pii, quality, simhash, suffixdedup, warc
+from pairlens.llm import chat, embeddings, lexical, linededup, lmscore, mixing, negatives, packing, pii, quality, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
     "op9_contextual_pii": pii.op9_contextual_pii,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_chat_formatting": chat.op12_chat_formatting,
+    "op13_lexical_search": lexical.op13_lexical_search,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_recurrent_lm": lmscore.op4_recurrent_lm,
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op2_line_dedup": linededup.OP2_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_temperature_mixing": mixing.OP8_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_chat_formatting": chat.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }
