@@ -41,7 +41,7 @@ PIVOTS, SAMPLED = 8, 1024
 #: Anchors and rows of a cell at most, rows of a cell at least; anchors and rows that are bracketed together.
 GROUP, SLICE, LEAST_SLICE = 16_384, 65_536, 4096
 BATCH, BLOCK = 256, 512
-#: Share of M * |q| by which brackets are widened: stored distances are in single precision.
+#: Share of M^2 / scale by which brackets are widened: stored distances are in single precision.
 SLACK = 1e-5
 NONE = np.iinfo(np.int64).min
 
@@ -98,7 +98,7 @@ class Space:
         scale = np.where(norm > 0, np.sqrt(self.radius2) / np.where(norm > 0, norm, 1), 1.0)
         squares = np.where(norm > 0, self.radius2, 0.0) + self.radius2
         d = np.sqrt(np.maximum(squares[:, None] - 2 * scale[:, None] * (q @ self.pivots.T), 0)).astype(np.float32)
-        return d, scale, squares, SLACK * np.sqrt(self.radius2) * norm + 1e-6
+        return d, scale, squares, SLACK * self.radius2 / scale + 1e-6
 
     def products(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return q.astype(np.int64) @ x.astype(np.int64).T if self.wide else (q.astype(float) @ x.astype(float).T).astype(np.int64)
