@@ -57,6 +57,31 @@ def add_features(df: DataFrame) -> DataFrame:
     return df.withColumns(weighted()).withColumns(derived())
 
 
+def with_histogram(df: DataFrame, values: str, out: str = "histogram", low: float = 0.0, high: float = 256.0, bins: int = 256) -> DataFrame:
+    """df with out: how many of an array's values fall into each of bins equal parts of [low, high), as a map of the filled parts.
+
+    Other values, nulls and NaN fall into none; a null array has no histogram.
+    The bins are sorted once and counted by where runs begin, in columns of
+    their own, so that no expression is repeated for each value.
+    """
+    place = lambda x: F.least(F.floor((x.cast("double") - low) * (bins / (high - low))).cast("int"), F.lit(bins - 1))
+    inside = F.filter(values, lambda x: (x >= low) & (x < high))
+    df = df.withColumn("__bins", F.sort_array(F.transform(inside, place)))
+    n = F.size("__bins")
+    starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("__bins", i) != F.get("__bins", i - 1)))
+    df = df.withColumn("__starts", F.when(F.col("__bins").isNotNull(), F.array_distinct(starts)))
+    runs = F.slice("__starts", F.lit(1), F.size("__starts") - 1)
+    counted = F.transform(runs, lambda s, i: F.struct(F.get("__bins", s).alias("bin"), (F.get("__starts", i + 1) - s).alias("n")))
+    return df.withColumn(out, F.map_from_entries(counted)).drop("__bins", "__starts")
+
+
+def entropy_bits(counts: Column) -> Column:
+    """Entropy, in bits, of an array of counts; 0 without any."""
+    total = F.greatest(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.log2(x)).otherwise(0.0))
+    return F.greatest(F.log2(total) - weighted / total, F.lit(0.0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -5,44 +5,61 @@ replacement, so the confusion counts of a class are a multinomial draw over the
 counts of the rows as they are.  Rows are counted once, whatever the number of
 replicates, and what the draws need is four numbers, or eight for two predictors.
 
-Groups: a group's multiplicity in a replicate is drawn from the Poisson
-distribution with mean 1 by a hash of replicate and key, which is the bootstrap
-in the limit of many groups and needs no shuffle; class sizes float with the groups.
+Groups: a replicate draws as many groups as there are, with replacement.  Groups
+of equal confusion counts are alike, so the draws are a multinomial over the
+compositions that occur.  Compositions are spread over CELLS by hash; how many
+draws fall to each cell is one multinomial, and each cell deals its own among
+its compositions.  Groups are counted once, and drawing costs as much as there
+are different compositions.
+
 Replicates without rows of a class are left out of its intervals.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.metrics import from_confusion
+from pairlens.operators.metrics import confusion, from_confusion
 
 METRICS = ["accuracy", "precision", "recall", "f1", "precision_mismatch", "recall_mismatch", "f1_mismatch", "macro_f1", "min_class_f1"]
-#: The distribution function of the Poisson distribution with mean 1, as far as doubles tell.
-POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(15)]
+#: Hash cells that compositions are dealt from, each in one task.
+CELLS = 64
+COUNTS = ["tp", "fp", "fn", "tn"]
+
 
+def _weighted(rows: DataFrame, y: str, predicted: str, prefix: str = "") -> list[Column]:
+    t, p = F.col(y).cast("boolean"), F.col(predicted).cast("boolean")
+    return [F.sum(F.when(c, F.col("w")).otherwise(0)).alias(prefix + name) for name, c in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p), ("tn", ~t & ~p))]
 
-def multiplicity(key: Column, replicate: Column, seed: int) -> Column:
-    u = F.pmod(F.xxhash64(F.lit(seed), replicate, key), F.lit(1 << 53)) / float(1 << 53)
-    return F.aggregate(F.array(*[F.lit(p) for p in POISSON]), F.lit(0), lambda n, p: n + (u >= p).cast("int"))
 
+def compositions(rows: DataFrame, group: str, y: str = "y", predicted: str = "predicted") -> DataFrame:
+    """tp, fp, fn, tn and groups: how many groups have these counts."""
+    return rows.groupBy(group).agg(*confusion(F.col(y), F.col(predicted))).groupBy(*COUNTS).agg(F.count("*").alias("groups"))
 
-def _replicates(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")
 
+def group_replicates(table: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
+    """replicate, drawn (the number of groups, each time that of all groups) and the confusion counts of each replicate, from compositions()."""
+    import numpy as np
+    import pandas as pd
 
-def _weighted(rows: DataFrame, y: str, predicted: str, prefix: str = "") -> list[Column]:
-    t, p = F.col(y).cast("boolean"), F.col(predicted).cast("boolean")
-    return [F.sum(F.when(c, F.col("w")).otherwise(0)).alias(prefix + name) for name, c in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p), ("tn", ~t & ~p))]
+    celled = table.withColumn("cell", F.pmod(F.xxhash64(*COUNTS), F.lit(CELLS)).cast("int"))
+    sizes = {r.cell: r.n for r in celled.groupBy("cell").agg(F.sum("groups").alias("n")).collect()}  # CELLS rows at most
+    if not sizes:
+        raise ValueError("there are no groups to draw from")
+    cells, total = sorted(sizes), sum(sizes.values())
+    drawn = np.random.default_rng(seed).multinomial(total, [sizes[c] / total for c in cells], n)
+    of_cell = {c: drawn[:, i].tolist() for i, c in enumerate(cells)}
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(COUNTS)
+        cell, p = int(pdf["cell"].iloc[0]), (pdf["groups"] / pdf["groups"].sum()).to_numpy()
+        rng, counts = np.random.default_rng([seed, cell]), pdf[COUNTS].to_numpy()
+        times = np.stack([rng.multinomial(k, p) for k in of_cell[cell]])
+        return pd.DataFrame({"replicate": np.arange(n), "drawn": times.sum(1), **dict(zip(COUNTS, (times @ counts).T, strict=True))})
 
-def replicates(rows: DataFrame, key: str, y: str = "y", predicted: str = "predicted", n: int = 1000, seed: int = 42) -> DataFrame:
-    """Metrics of each replicate; key is a row's id, or a group's to draw whole groups."""
-    drawn = rows.select(key, y, predicted, _replicates(n)).withColumn("w", multiplicity(F.col(key), F.col("replicate"), seed))
-    return drawn.where("w > 0").groupBy("replicate").agg(*_weighted(rows, y, predicted)).withColumns(from_confusion())
+    parts = celled.groupBy("cell").applyInPandas(run, "replicate long, drawn long, tp long, fp long, fn long, tn long")
+    return parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("drawn", *COUNTS)])
 
 
 def intervals(samples: DataFrame, metrics: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -85,7 +102,7 @@ def confidence_intervals(rows: DataFrame, y: str = "y", predicted: str = "predic
 
 
 def group_intervals(rows: DataFrame, group: str, y: str = "y", predicted: str = "predicted", n: int = 1000, seed: int = 42) -> DataFrame:
-    return intervals(replicates(rows, group, y, predicted, n, seed))
+    return intervals(group_replicates(compositions(rows, group, y, predicted), n, seed).withColumns(from_confusion()))
 
 
 def paired_deltas(rows: DataFrame, y: str, first: str, second: str, n: int = 1000, seed: int = 42) -> DataFrame:

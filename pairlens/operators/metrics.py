@@ -72,6 +72,22 @@ def roc_auc(rows: DataFrame, y: str = "y", score: str = "score", by: list[str] |
     return out.agg((F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double"))).alias("roc_auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
+def class_report(rows: DataFrame, threshold: float, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """Confusion counts, class-wise metrics and AUC in one row, or one for each group of by; one pass over the rows.
+
+    Rows are counted by score; both the counts at the threshold and the ranks
+    come from that histogram.  AUC is null without both classes.
+    """
+    by = by or []
+    hist = rows.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    ranked = prefix_sums(hist, "score", ["neg"], by=by)
+    passes = F.col("score") >= threshold
+    counts = [F.sum(F.when(c, F.col(k)).otherwise(0)).alias(name) for name, c, k in (("tp", passes, "pos"), ("fp", passes, "neg"), ("fn", ~passes, "pos"), ("tn", ~passes, "neg"))]
+    area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
+    out = (ranked.groupBy(*by) if by else ranked).agg(*counts, F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+    return out.withColumns(from_confusion())
+
+
 def summarize_predictions(rows: DataFrame, label: str = "label", predicted: str = "pred_label", score: str = "prob_keep", verdict: str = "verdict", missing: float = 0.5) -> DataFrame:
     """One row: metrics over labelled rows, AUC, and counts by verdict and by prediction over all."""
     labelled = rows.where(F.col(label).isin("match", "mismatch")).select((F.col(label) == "match").cast("int").alias("y"), (F.coalesce(F.col(predicted), F.lit("")) == "match").cast("int").alias("predicted"), F.coalesce(F.col(score), F.lit(missing)).alias("score"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.keys import VARIANTS, verdict
 from pairlens.operators.metrics import classwise_metrics
-from pairlens.operators.thresholds import best_balanced
+from pairlens.operators.thresholds import best_balanced_by
 
 WEIGHTS = [0.25, 0.5, 0.75]
 
@@ -118,10 +118,9 @@ def mix_probabilities(parts: list[Column], weight: float | None = None) -> Colum
 
 def select_candidates(oof: DataFrame, key: str, y: str = "y") -> DataFrame:
     """A row for each candidate, best first: threshold by balance of its mean scores, and metrics there."""
-    mean = oof.groupBy("candidate", key, y).agg(F.avg("p").alias("score")).cache()
-    parts = [best_balanced(mean.where(F.col("candidate") == c.candidate), y, "score").withColumn("candidate", F.lit(c.candidate)) for c in mean.select("candidate").distinct().collect()]  # the table of candidates
+    mean = oof.groupBy("candidate", key, y).agg(F.avg("p").alias("score"))
     order = [F.desc(c) for c in ("min_class_f1", "macro_f1", "accuracy", "f1", "candidate")]
-    return reduce(DataFrame.unionByName, parts).orderBy(*order)
+    return best_balanced_by(mean, "candidate", y, "score").orderBy(*order)  # a row for each candidate
 
 
 def save(model: PipelineModel, path: str, threshold: float, meta: dict | None = None) -> None:

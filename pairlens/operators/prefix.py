@@ -14,10 +14,11 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
 
     With more than RANGE_ROWS rows, the order is cut at approximate quantiles;
     running sums within a range start from the sums of the ranges before it, of
-    which there are few.
+    which each group has few.  The cuts are the same for all groups, so a group
+    of most rows is cut as well.
     """
     by = by or []
-    rows = df.count() if not by else 0
+    rows = df.count()
     direction = F.desc if descending else F.asc
     if rows <= RANGE_ROWS:
         w = Window.partitionBy(*by).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -26,9 +27,12 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
     cuts = df.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)
     cut = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
     ranged = df.withColumn("__range", F.size(F.filter(cut, lambda c: c <= F.col(order))))
-    w = Window.partitionBy("__range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = Window.orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__range", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
-    out = ranged.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums}).join(F.broadcast(totals), "__range")  # a row for each range
-    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__b_{c}") for c in sums}).drop("__range", *[f"__b_{c}" for c in sums])
+    w = Window.partitionBy(*by, "__range").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__at"), *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    same = F.col("__range") == F.col("__at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = ranged.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums}).join(totals if by else F.broadcast(totals), same)  # a row for each range, and group
+    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__b_{c}") for c in sums}).drop("__range", "__at", *[f"__by_{c}" for c in by], *[f"__b_{c}" for c in sums])

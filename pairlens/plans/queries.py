@@ -74,6 +74,8 @@ def sql_grid(values: list[float]) -> str:
     return " UNION ALL SELECT unnest([" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]), 0, 0"
 
 
+#: The candidate above all scores, at which nothing passes.
+ABOVE = " UNION ALL SELECT nextafter(max(score), CAST('inf' AS DOUBLE)), 0, 0 FROM s"
 BALANCE = "min_class_f1 DESC, macro_f1 DESC, accuracy DESC"
 META = [c for c in text.TEXT_META if c != "num_entities"]
 
@@ -116,7 +118,7 @@ def classwise_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.at_threshold(scored(spark, d), 0.6).select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "f1_mismatch", "macro_f1", "min_class_f1")
 
 
-@query(sql_best(sql_grid([0.0, 0.5, 1.0]) + " UNION ALL SELECT max(score) + 1e-15, 0, 0 FROM s WHERE false", BALANCE))
+@query(sql_best(sql_grid([0.0, 0.5, 1.0]) + ABOVE, BALANCE))
 def balanced_threshold(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.best_balanced(scored(spark, d))
 
@@ -195,9 +197,9 @@ def exact_text_groups(spark: SparkSession, d: str) -> DataFrame:
     return _listed(audit.exact_text_groups(labelled_texts(spark, d), "norm")).withColumn("characters", F.col("characters").cast("long"))
 
 
-@query(f"WITH {TEXTS} SELECT lang, substr(norm, 1, 1) AS initial, {LISTS} FROM t GROUP BY ALL HAVING count(DISTINCT y) > 1")
+@query(f"WITH {TEXTS} SELECT lang, CAST(len(string_split(norm, ' ')) AS INT) AS n_words, {LISTS} FROM t GROUP BY ALL HAVING count(DISTINCT y) > 1")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(audit.contradictions(labelled_texts(spark, d), [F.col("lang"), F.substring("norm", 1, 1).alias("initial")]))
+    return _listed(audit.contradictions(labelled_texts(spark, d), [F.col("lang"), F.size(F.split("norm", " ")).alias("n_words")]))
 
 
 @query("""WITH l AS (SELECT source, quality AS y FROM documents JOIN labels USING (doc_id)),
@@ -237,12 +239,13 @@ def _sql_tokens(c: str) -> str:
 
 
 @query(rf"""WITH b AS (SELECT item_id, text AS ocr, {_sql_tokens("text")} AS b, list_distinct(regexp_extract_all(text, '\p{{Nd}}+(?:[.]\p{{Nd}}+)?')) AS nb FROM benchmark),
-a AS (SELECT doc_id, doc_id % 40 AS item_id, {_sql_tokens("text")} AS a, list_distinct(regexp_extract_all(text, '\p{{Nd}}+(?:[.]\p{{Nd}}+)?')) AS na FROM documents),
+a AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {_sql_tokens("text")} AS a, list_distinct(regexp_extract_all(text, '\p{{Nd}}+(?:[.]\p{{Nd}}+)?')) AS na FROM documents),
 j AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0.0 END AS jac FROM a JOIN b USING (item_id))
 SELECT doc_id, round(CASE WHEN trim(ocr) = '' THEN 0.5 WHEN len(na) > 0 THEN 0.5 * jac + 0.5 * len(list_intersect(na, nb)) / len(na) ELSE jac END, 9) AS score,
   round(CASE WHEN trim(ocr) = '' THEN 0.0 ELSE 0.35 + 0.65 * least(1.0, (len(a) + len(na)) / 8.0) * least(1.0, (len(b) + len(nb)) / 12.0) END, 9) AS confidence FROM j""")
 def caption_alignment(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), text.label_tokens(F.col("text")).alias("a"), text.numbers(F.col("text")).alias("na"))
+    items = table(spark, d, "benchmark").count()
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % items).alias("item_id"), text.label_tokens(F.col("text")).alias("a"), text.numbers(F.col("text")).alias("na"))
     read = table(spark, d, "benchmark").select("item_id", F.col("text").alias("ocr"), text.label_tokens(F.col("text")).alias("b"), text.numbers(F.col("text")).alias("nb"))
     out = docs.join(read, "item_id").select("doc_id", text.alignment(*[F.col(c) for c in ("a", "b", "na", "nb", "ocr")]).alias("x"))
     return out.select("doc_id", F.round("x.score", 9).alias("score"), F.round("x.confidence", 9).alias("confidence"))
@@ -501,23 +504,16 @@ def arbiter_cv(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def resume_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream that is worked on once each, then read back by key."""
-    import uuid
-
+    from pairlens.sources import storage
     from pairlens.streaming import resume
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/pairlens-{uuid.uuid4().hex}"
-    here = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    here = storage.new_path(spark, "stream")
     events = table(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select(F.col("event_id").cast("string").alias("record_key"), F.col("event_id").alias("ordinal"), "event_type", "value")
     resume.stream(source, lambda df: df.withColumn("score", F.col("value") * 2), f"{here}/log", f"{here}/checkpoint").awaitTermination()
     return resume.read_log(spark, f"{here}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
 
 
-@query()
-def audit_report(spark: SparkSession, d: str) -> DataFrame:
-    return audit.report(labelled_texts(spark, d), "norm", "source", ["lang", "source"])
-
-
 #: Unicode's white space, for expressions that know only ASCII's.
 BLANK = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
