@@ -84,8 +84,8 @@ def batch_scorer(scorer: Scorer) -> Callable[..., Column]:
 
     @F.arrow_udf(SCORED)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for columns in batches:
-            yield scorer.score(list(columns))
+        for columns in batches:  # one column comes bare
+            yield scorer.score(list(columns) if isinstance(columns, tuple) else [columns])
 
     return run
 

@@ -26,7 +26,7 @@ def node_table(spark: SparkSession, path: str) -> DataFrame:
     """tree, weight, id, left, right, feature, threshold, value and cover of each node of a forest that was saved at path; features by number."""
     nodes = spark.read.parquet(f"{path}/data")
     n = F.col("nodeData")
-    meta = spark.read.parquet(f"{path}/treesMetadata").select(F.col("treeID"), F.col("weights").alias("weight"))
+    meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight")
     split, leaf = n["split"], n["leftChild"] < 0
     categorical = ~leaf & (split["numCategories"] >= 0)
     threshold = F.when(categorical, F.raise_error(F.lit("splits by category have no threshold"))).otherwise(F.get(split["leftCategoriesOrThreshold"], 0))

@@ -172,7 +172,7 @@ i AS (SELECT a.id AS l, b.id AS r, count(*) AS c FROM z a JOIN z b ON a.tok = b.
 p AS (SELECT l, r, CAST(c AS DOUBLE) / (len(x.s) + len(y.s) - c) AS jac, x.copies + y.copies AS n FROM i JOIN w x ON x.id = l JOIN w y ON y.id = r UNION ALL SELECT x.id, y.id, 1.0, x.copies + y.copies FROM w x JOIN w y ON x.id < y.id WHERE len(x.s) = 0 AND len(y.s) = 0)
 SELECT 'balance' AS section, 'match' AS name, NULL AS ids, CAST(match AS BIGINT) AS n, NULL::DOUBLE AS value FROM f WHERE field IS NULL
 UNION ALL SELECT 'balance', 'mismatch', NULL, CAST(mismatch AS BIGINT), NULL FROM f WHERE field IS NULL
-UNION ALL SELECT 'field', field || '.' || k, NULL, NULL, round(v, 9) + 0.0 FROM u
+UNION ALL SELECT 'field', field || '.' || k, NULL, 0, round(v, 9) + 0.0 FROM u
 UNION ALL SELECT 'contradiction', lang || '|' || md5(norm), array_to_string(list_sort(list(sample_id)), ','), count(*), NULL FROM t GROUP BY lang, norm HAVING count(DISTINCT y) > 1
 UNION ALL SELECT 'exact:norm', sha256(norm), array_to_string(list_sort(list(sample_id)), ','), count(*), CAST(count(DISTINCT y) > 1 AS DOUBLE) FROM t WHERE norm <> '' GROUP BY norm HAVING count(*) >= 2
 UNION ALL SELECT 'near:norm', '', l || ',' || r, n, round(jac, 9) FROM p WHERE jac >= 0.8""")

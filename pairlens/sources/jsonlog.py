@@ -106,7 +106,9 @@ class LogReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [Range(file, a, min(a + self.step, size), size) for file, size in log_files(self.path) for a in range(0, size, self.step)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a log without files
+            return
         fs, _ = _open(self.path)
         names, values, starts = ["value", "file", "start"], [], []
 

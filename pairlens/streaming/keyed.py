@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pairlens.operators.matching import last_records
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Batches without data, which a time to live asks for without end.
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,12 +66,15 @@ def start(rows: DataFrame, log: str, checkpoint: str, work: Callable[[DataFrame]
         work(df).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     spark = rows.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # the query takes the setting when it starts
+    own = {PROVIDER: ROCKSDB, IDLE: "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():  # the query takes its settings when it starts
+        spark.conf.set(k, v)
     try:
         return rows.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def read_log(spark: SparkSession, log: str, key: str = "record_key", ordinal: str = "ordinal") -> DataFrame:

@@ -74,14 +74,19 @@ def test_torn_in_several_files_read_repaired_appended(spark, tmp_path):
     (folder / "c.jsonl").write_text("".join(map(line, range(151, 160))))
     (folder / "d.jsonl").write_text('{"torn')
     (folder / "e.jsonl").write_text("")
-    for step in (1, 7, 64, 1000, 1 << 26):
+    for file, size in jsonlog.log_files(str(folder)):
+        with open(file, "rb") as f:
+            whole = list(jsonlog._lines(f, 0, size, size))
+            for step in (1, 2, 7, 64, 1000):
+                assert [x for a in range(0, size, step) for x in jsonlog._lines(f, a, min(a + step, size), size)] == whole
+    for step in (700, 1 << 26):
         assert values(spark, folder, range_bytes=step) == list(range(160))
     fixed = {r.file.rsplit("/", 1)[-1]: (r.kept, r.cut) for r in jsonlog.repair(spark, str(folder)).collect()}
     assert {k: v[1] for k, v in fixed.items()} == {"a.jsonl": 15, "b.jsonl": 0, "d.jsonl": 6} and fixed["d.jsonl"][0] == 0
     with (folder / "a.jsonl").open("a") as f:
         f.write(line(160))
     jsonlog.append(spark.range(161, 200).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("pad")).repartition(3), str(folder))
-    assert values(spark, folder, range_bytes=100) == list(range(200))
+    assert values(spark, folder, range_bytes=900) == list(range(200))
     assert jsonlog.repair(spark, str(folder)).isEmpty()
     starts = jsonlog.read(spark, str(folder), "k long").where("k = 1").first()
     assert starts.start == len(line(0).encode()) and starts.file.endswith("a.jsonl")
