@@ -7,14 +7,15 @@ source is repeated more often than allowed; the larger of the two holds.
 
 Each source has a token budget.  Whole passes over the source are blocks that
 hold every document; the last block takes documents in a pseudo-random order
-(by the MD5 of seed, block and doc_id) while they fit the rest of the budget.
+(by the MD5 of seed, block and doc_id, or text where there is no id) while they fit the rest of the budget.
 The order is cut by hash prefixes first, so that only the documents of one
 prefix per source are ever sorted, and the choice is one comparison of each
 document's hash with its source's cut: texts are not shuffled.
 
 Nulls and edge cases: a null source is a source of its own; a null text has no
 tokens; documents without tokens are never chosen, nor is a source of such
-documents; rows that are equal in source and doc_id are chosen together;
+documents; rows that are equal in source and doc_id, or without id in source and
+text, are chosen together;
 an empty table gives an empty one; all columns are kept, and none but doc_id,
 text and source are looked at (names that begin with "__" are reserved).
 """
@@ -44,8 +45,13 @@ def _source() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
+def _name() -> Column:
+    """What a document is ordered by: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text").cast("string").cast("binary"))))
+
+
 def _order(seed: int, block: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.col("__name")).cast("binary"))
 
 
 def _at(shares: DataFrame, exponents: list[float], budget: float) -> list[tuple[float, float]]:
@@ -96,7 +102,7 @@ def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = Non
     """A row for each source with tokens: weight, budget, whole blocks, and the hash up to which the last block goes."""
     spark = docs.sparkSession
     t = Tables(spark)
-    slim = t.write(docs.select(_source().alias("__source"), F.col("doc_id").cast("long").alias("doc_id"), _tokens(docs).alias("__tokens")).where("__tokens > 0"), "tokens")
+    slim = t.write(docs.select(_source().alias("__source"), _name().alias("__name"), _tokens(docs).alias("__tokens")).where("__tokens > 0"), "tokens")
     sums = t.write(slim.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("n")), "sources")
     total, rows = sums.agg(F.sum("tokens"), F.sum("n")).first()
     empty = "__source string, tokens long, n long, weight double, budget long, blocks long, cut string"
@@ -131,7 +137,7 @@ def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = Non
 def choose(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """docs with __tokens, __weight and __copies, how often each is used; target as for plan."""
     params = plan(docs, seed=seed, **target)
-    base = docs.withColumn("__source", _source()).withColumn("__tokens", _tokens(docs))
+    base = docs.withColumns({"__source": _source(), "__tokens": _tokens(docs), "__name": _name()})
     n = params.agg(F.sum("n")).first()[0] or 0
     own = keyed_join(base, params.select("__source", "n", "weight", "blocks", "cut"), "__source", n, spread=F.xxhash64("doc_id"))
     last = (_order(seed, F.col("blocks")) <= F.col("cut")).cast("long")
@@ -151,7 +157,7 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH RECURSIVE t AS (SELECT doc_id, source, coalesce(source, chr(0)) AS s, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, source, text, coalesce(source, chr(0)) AS s, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
 q AS (SELECT s, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t WHERE n_tokens > 0 GROUP BY s),
 total AS (SELECT CAST(sum(tokens) AS BIGINT) AS b FROM q),
 sh AS MATERIALIZED (SELECT s, tokens, tokens / b AS share, b FROM q, total),
@@ -167,6 +173,6 @@ x AS (SELECT round(CASE WHEN (SELECT ln(count(*)) - sum(-share * ln(share)) <= 0
 w AS (SELECT s, tokens, b, round(pow(share, x.x) / (SELECT sum(pow(share, x.x)) FROM sh), 9) AS weight FROM sh, x),
 p AS (SELECT *, CAST(floor(weight * b) AS BIGINT) AS budget FROM w),
 pp AS (SELECT *, budget // tokens AS blocks, budget - budget // tokens * tokens AS rest FROM p),
-o AS (SELECT t.*, weight, blocks, rest, CASE WHEN n_tokens > 0 THEN sum(n_tokens) OVER (PARTITION BY t.s ORDER BY md5('17:' || blocks || ':' || doc_id)) END AS upto FROM t LEFT JOIN pp USING (s))
+o AS (SELECT t.*, weight, blocks, rest, CASE WHEN n_tokens > 0 THEN sum(n_tokens) OVER (PARTITION BY t.s ORDER BY md5('17:' || blocks || ':' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(text)))) END AS upto FROM t LEFT JOIN pp USING (s))
 SELECT doc_id, source, n_tokens, coalesce(weight, 0.0) AS weight, CAST(CASE WHEN n_tokens > 0 THEN blocks + CASE WHEN upto <= rest THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies FROM o
 """
