@@ -8,8 +8,9 @@ Whatever follows a candidate anywhere in the corpus is an instance of it,
 whatever its shape.  In the bipartite graph of patterns and instances, a
 pattern's confidence is the share of what follows it that is believed to be an
 identifier, and an instance is believed as far as any of its patterns is (noisy
-or); a few rounds of this let confident patterns vouch for identifiers that no
-seed expression knows.  Instances that confident patterns have are spans of the
+or), a long token that mixes letters and digits a little from the start; a few
+rounds of this let confident patterns vouch for identifiers that no seed
+expression knows.  Instances that confident patterns have are spans of the
 kind "found".
 
 Positions are running sums of the lengths of a text's pieces, added up by
@@ -45,6 +46,8 @@ LETTER, MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 #: Digits of a number that counts for a pattern no seed has.
 DIGITS = 4
 CONFIDENT, SUPPORT, ROUNDS = 0.5, 2, 3
+#: Long tokens that mix letters and digits are believed so far without any seed: a pattern that only they follow is confident.
+MIXED, WEAK = "^[a-z0-9_-]{16,}$", 0.6
 #: Seeds and numbers are at least this share of what follows a pattern that may become confident.
 PRIOR = 0.1
 BROADCAST_ROWS = 100_000
@@ -207,6 +210,12 @@ def _hits(base: DataFrame, met: DataFrame) -> DataFrame:
     return rows.select("doc_id", "hash", "pattern", (F.col("start") + F.length("name")).alias("start"), (F.col("start") + F.length("core")).alias("end"), F.lower(F.expr("substring(core, length(name) + 1)")).alias("instance"))
 
 
+def _mixed(instance: Column) -> Column:
+    """A long token of DIGITS digits and as many letters at least; instances are in small letters."""
+    many = lambda kind: F.length(F.regexp_replace(instance, f"[^{kind}]", "")) >= DIGITS
+    return instance.rlike(MIXED) & many("0-9") & many("a-z")
+
+
 def discover(base: DataFrame, t: Tables) -> DataFrame:
     """(doc_id, hash, start, end) of the spans that confident patterns vouch for."""
     seeds = t.write(seed_occurrences(with_words(base.where("size(spans) > 0"))).groupBy("pattern", "instance").agg(F.count("*").alias("n")), "seeds")
@@ -219,7 +228,7 @@ def discover(base: DataFrame, t: Tables) -> DataFrame:
     likely = strong.join(met.groupBy("pattern").agg(F.count("*").alias("words")), "pattern", "left")
     likely = t.write(likely.where(F.col("n") >= PRIOR * F.coalesce("words", F.lit(0))).select("pattern", "n"), "likely")
     hits = t.write(_hits(base, met.join(_few(likely.select("pattern")), "pattern")), "hits")
-    edges = hits.groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.lit(0.0))
+    edges = hits.groupBy("pattern", "instance").agg(F.count("*").alias("n")).withColumn("seed", F.when(_mixed(F.col("instance")), WEAK).otherwise(0.0))
     edges = edges.unionByName(seeds.join(likely.select("pattern"), "pattern", "left_semi").withColumn("seed", F.lit(1.0)))
     graph = t.write(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "graph")
     belief = t.write(graph.groupBy("instance").agg(F.max("seed").alias("belief")), "belief")

@@ -334,6 +334,13 @@ def test_spans(spark, docs, nothing):
     assert pii.find(docs).count() == docs.count() and pii.find(nothing).count() == 0
 
 
+def test_mixing_sources_without_ids(spark):
+    rows = [(None, " ".join(f"w{i}" for _ in range(1 + i % 5)), "a") for i in range(300)] + [(i, "one two three", "b") for i in range(300)] + [(None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.choose(df, budget=1059, max_repeats=None).groupBy("source").agg(F.sum(F.col("__tokens") * F.col("__copies")).alias("used"), F.first("__weight").alias("w")).collect()
+    assert all(r.w * 1059 - 6 <= r.used <= r.w * 1059 for r in out) and len(out) == 2
+
+
 def test_contexts_vouch(spark):
     seeds = [(i, f"text before member id: user{i}@mail.com and more words") for i in range(6)]
     df = spark.createDataFrame([*seeds, (10, "some member id: ZX81-2233 thanks"), (11, "plain words of 20231 things"), (12, "x contact=+1 (555) 123-4567 y"), (13, "x contact=4111111111111111 y"), (14, "x contact=Z-90210-7 y")], "doc_id long, text string")
@@ -401,7 +408,9 @@ def _found(texts):
     for p, *_, x in met:
         graph[p, x] += p in likely
     graph = {x: n for x, n in graph.items() if n}
-    belief = {x: float(x in seeded) for _, x in graph}
+    mixed = lambda x: bool(regex.fullmatch("[a-z0-9_-]{16,}", x)) and len(regex.findall("[0-9]", x)) >= pii.DIGITS and len(regex.findall("[a-z]", x)) >= pii.DIGITS
+    first = {x: 1.0 if x in seeded else pii.WEAK if mixed(x) else 0.0 for _, x in graph}
+    belief = dict(first)
     for _ in range(pii.ROUNDS):
         sure = {}
         for p in likely:
@@ -410,7 +419,7 @@ def _found(texts):
                 c = sum(n * belief[x] for x, n in own) / sum(n for _, n in own)
                 if c >= pii.CONFIDENT and sum(belief[x] >= pii.CONFIDENT for x, _ in own) >= pii.SUPPORT:
                     sure[p] = min(c, 0.999)
-        belief = {x: max(float(x in seeded), 1 - math.prod(1 - sure.get(p, 0) for p, y in graph if y == x)) for x in belief}
+        belief = {x: max(first[x], 1 - math.prod(1 - sure.get(p, 0) for p, y in graph if y == x)) for x in belief}
     return {(k, a, b) for p, k, a, b, _ in met if p in sure}
 
 
@@ -427,14 +436,23 @@ def test_pii_like_brute_force(spark):
             f"room {rng.integers(1, 9999)} of the house",
             f"contact={pick(phone, code, mail)} и слово: {pick(code, 'дом')}",
             f"the {pick('a', 'b', '12345', mail)} word ({mail})",
+            f'key = "{rng.integers(0, 1 << 60):016x}{rng.integers(0, 1 << 60):016x}" or path /{rng.integers(0, 1 << 60):016x} {pick("x", "y")}',
         ]
-        texts.append("\n".join(parts[x] for x in rng.permutation(6)[: rng.integers(1, 6)]))
+        texts.append("\n".join(parts[x] for x in rng.permutation(7)[: rng.integers(1, 7)]))
     rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: [(x.kind, x.start, x.end) for x in r.base] for r in rows} == {i: _base(t) for i, t in enumerate(texts)}
     found = {(r.doc_id, x.start, x.end) for r in rows for x in r.spans if x.kind == "found"}
     assert found == _found(texts) and len(found) > 20
 
 
+def test_a_shape_no_seed_has(spark):
+    rng = np.random.default_rng(5)
+    secret = lambda: f"{rng.integers(1 << 60, 1 << 62):016x}{rng.integers(1 << 60, 1 << 62):016x}ab12"
+    texts = [f'words come first token = "{secret()}" and words after' for _ in range(8)] + [f"a file {secret()} among many files" for _ in range(2)] + [f"a file named{i} among many" for i in range(9)] + ["no token at all, only words"]
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[i] == [texts[i].split('"')[1]] for i in range(8)) and not any(found[i] for i in range(8, len(texts)))
+
+
 def test_pii_in_very_long_texts(spark):
     import time
 
