@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.keys import squeeze, strip
@@ -128,16 +128,19 @@ def is_bad_noun(word: Column) -> Column:
     return word.isin(NOUN_STOP) | word.isin(NOUN_VERBS) | (F.length(word) < 3) | (_ends(word, NOUN_ENDINGS) & (F.length(word) > 5))
 
 
-def top_nouns(text: Column, most: int = 12) -> Column:
-    """Distinct content words by length, capitals, hyphens and digits; the first occurrence of a word counts."""
+def with_top_nouns(df: DataFrame, text: str, out: str = "nouns", most: int = 12) -> DataFrame:
+    """df with out: distinct content words of a text column by length, capitals, hyphens and digits; the first occurrence of a word counts.
+
+    Each array that is used twice is a column of its own, so that it is made once.
+    """
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9\-]{2,}"), F.lit(0))
     placed = F.transform(raw, lambda x, i: F.struct(F.lower(x).alias("w"), i.alias("i"), x.rlike("^[A-Z]").alias("capital")))
-    firsts = F.array_sort(placed)  # by word, then place
-    firsts = F.transform(F.arrays_zip(firsts.alias("x"), F.concat(F.array(F.lit("")), F.transform(firsts, lambda x: x["w"])).alias("before")), lambda p: F.when(p["x"]["w"] != p["before"], p["x"]))
-    kept = F.filter(firsts, lambda x: x.isNotNull() & ~is_bad_noun(x["w"]))
-    scored = F.array_sort(F.transform(kept, lambda x: F.struct((-(F.length(x["w"]) + F.when(x["capital"], 3).otherwise(0) + F.when(x["w"].rlike("[-0-9]"), 2).otherwise(0))).alias("s"), x["w"].alias("w"))))
-    out = F.transform(F.slice(scored, 1, most), lambda x: x["w"])
-    return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("diagram"), F.lit("scene")))
+    df = df.withColumn("__sorted", F.array_sort(placed))  # by word, then place
+    firsts = F.filter("__sorted", lambda x, i: (i == 0) | (x["w"] != F.get("__sorted", i - 1)["w"]))
+    df = df.withColumn("__kept", F.filter(firsts, lambda x: ~is_bad_noun(x["w"])))
+    scored = F.transform("__kept", lambda x: F.struct((-(F.length(x["w"]) + F.when(x["capital"], 3).otherwise(0) + F.when(x["w"].rlike("[-0-9]"), 2).otherwise(0))).alias("s"), x["w"].alias("w")))
+    df = df.withColumn("__best", F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x["w"]))
+    return df.withColumn(out, F.when(F.size("__best") > 0, F.col("__best")).otherwise(F.array(F.lit("diagram"), F.lit("scene")))).drop("__sorted", "__kept", "__best")
 
 
 def claims(text: Column) -> Column:

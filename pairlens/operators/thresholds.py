@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pairlens.operators.metrics import from_confusion
@@ -19,14 +19,21 @@ from pairlens.operators.prefix import prefix_sums
 GRID = [0.01 + i * ((0.99 - 0.01) / 98) for i in range(98)] + [0.99]
 
 
-def histogram(rows: DataFrame, y: str = "y", score: str = "score", extra: list[float] | None = None) -> DataFrame:
-    bad = rows.where(F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == float("inf")))
-    if not bad.isEmpty():
+def counted(rows: DataFrame, y: str = "y", score: str = "score") -> tuple[DataFrame, Row]:
+    """The histogram (t, pos, neg), kept for the jobs that follow so that scores are computed once, and its low, high, pos and neg."""
+    t, pos, neg = F.col(score).cast("double").alias("t"), F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    hist = rows.groupBy(t).agg(pos, neg).persist()
+    bad = F.col("t").isNull() | F.isnan("t") | (F.abs("t") == float("inf"))
+    facts = hist.agg(F.count_if(bad).alias("bad"), F.min("t").alias("low"), F.max("t").alias("high"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    if facts.bad:
         raise ValueError("scores must be finite")
-    hist = rows.select(F.col(score).cast("double").alias("t"), (F.col(y) == 1).cast("long").alias("pos"), (F.col(y) == 0).cast("long").alias("neg"))
-    if extra:
-        hist = hist.unionByName(rows.sparkSession.createDataFrame([(float(x), 0, 0) for x in extra], "t double, pos long, neg long"))
-    return hist.groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return hist, facts
+
+
+def with_candidates(hist: DataFrame, extra: list[float]) -> DataFrame:
+    """hist with candidates that need not be scores, as values without rows."""
+    more = hist.sparkSession.createDataFrame([(float(x), 0, 0) for x in extra], "t double, pos long, neg long")
+    return hist.unionByName(more).groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def sweep(hist: DataFrame) -> DataFrame:
@@ -44,8 +51,8 @@ def _best(swept: DataFrame, key: list[Column], by: list[str] | None = None) -> D
     return best.select(*(by or []), F.col("b.t").alias("threshold"), *[f"b.{c}" for c in cols[1:]])
 
 
-def _need_both(rows: DataFrame, y: str) -> None:
-    if rows.select(y).distinct().limit(3).count() != 2:
+def _need_both(facts: Row) -> None:
+    if not facts.pos or not facts.neg:
         raise ValueError("thresholds for balance need both classes")
 
 
@@ -56,19 +63,21 @@ def _balance() -> list[Column]:
 
 def best_f1(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Largest F1 of match; among F1s alike to 12 digits the threshold closest to one half, the smaller of two."""
-    return _best(sweep(histogram(rows, y, score, [*GRID, 0.5])), [F.round("f1", 12), -F.abs(F.col("t") - 0.5), -F.col("t")])
+    hist, _ = counted(rows, y, score)
+    return _best(sweep(with_candidates(hist, [*GRID, 0.5])), [F.round("f1", 12), -F.abs(F.col("t") - 0.5), -F.col("t")])
 
 
 def best_balanced_grid(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    _need_both(rows, y)
-    return _best(sweep(histogram(rows, y, score, [0.0, 0.5, 1.0, *GRID])), _balance())
+    hist, facts = counted(rows, y, score)
+    _need_both(facts)
+    return _best(sweep(with_candidates(hist, [0.0, 0.5, 1.0, *GRID])), _balance())
 
 
 def best_balanced(rows: DataFrame, y: str = "y", score: str = "score", constants: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
     """Candidates: the scores, the constants, and the next number above the largest score (nothing passes)."""
-    top = rows.agg(F.max(score)).first()[0]
-    above = [math.nextafter(top, math.inf)] if top is not None and math.isfinite(top) else []
-    return _best(sweep(histogram(rows, y, score, [*constants, *above])), _balance())
+    hist, facts = counted(rows, y, score)
+    above = [math.nextafter(facts.high, math.inf)] if facts.high is not None else []
+    return _best(sweep(with_candidates(hist, [*constants, *above])), _balance())
 
 
 def best_balanced_by(rows: DataFrame, by: str, y: str = "y", score: str = "score", constants: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
@@ -94,9 +103,8 @@ def best_balanced_scores(rows: DataFrame, y: str = "y", score: str = "score") ->
 
 def best_midpoint(rows: DataFrame, y: str = "y", score: str = "score", objective: str = "f1") -> DataFrame:
     """Candidates halfway between neighbouring scores and just outside of them; y is 1 for match."""
-    hist = histogram(rows, y, score)
-    swept = sweep(hist)
-    low, high = hist.agg(F.min("t"), F.max("t")).first()
+    hist, facts = counted(rows, y, score)
+    swept, low, high = sweep(hist), facts.low, facts.high
     if low is None:
         raise ValueError("a threshold needs scores")
     # the threshold below score t passes what the sweep passes at t; its place needs the score before t

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import features, graphs, jsontools, keys, text
@@ -260,7 +260,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, w) AS r
 o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY r) AS nouns FROM r WHERE r <= 12 GROUP BY doc_id)
 SELECT doc_id, coalesce(nouns, 'diagram scene') AS nouns FROM documents LEFT JOIN o USING (doc_id)""")
 def top_nouns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.top_nouns(F.col("text")), " ").alias("nouns"))
+    return text.with_top_nouns(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.array_join("nouns", " ").alias("nouns"))
 
 
 def event_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -473,9 +473,14 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def judge_json(spark: SparkSession, d: str) -> DataFrame:
-    """Answers in the forms that judges give, made of conversation numbers, parsed and counted."""
-    forms = ['{"verdict": "Pass.", "correct_things": ["a", "b"]}', '```json\n{"verdict": "regenerate", "mistake_things": "x"}\n```', "text {'verdict': 'pass', 'critical thinks': []} text", '{"verdict": "maybe"}', "no json", '{"a": "}{", "verdict": "PASS"} tail']
-    raw = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("conv_id") % len(forms) + 1).cast("int"))
+    """Turns as answers in the forms that judges give, their lines as what was right or wrong, parsed and counted."""
+    lines = F.to_json(F.split(F.coalesce("text", F.lit("")), "\n"))
+    say = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    forms = [
+        say('{"verdict": "Pass.", "correct_things": ', lines, "}"), say('```json\n{"verdict": "regenerate", "mistake_things": ', lines, "}\n```"), say(F.col("text"), " {'verdict': 'pass', 'critical thinks': []} ", F.col("text")),
+        say('{"verdict": ', F.to_json(F.array("text")), "}"), F.col("text"), say('{"a": "}{", "b": ', lines, ', "verdict": "PASS"} tail'),
+    ]
+    raw = F.get(F.array(*forms), (F.col("turn") % len(forms)).cast("int"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", jsontools.parse_answer(raw).alias("r"))
     return rows.select("conv_id", "turn", F.col("r.parsed.verdict").alias("verdict"), F.size("r.parsed.correct_things").alias("n_correct"), F.col("r.error").alias("error"))
 
