@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions import features, graphs, jsontools, keys, text
+from pairlens.functions import claimgraph, features, graphs, jsontools, keys, text
 from pairlens.operators import audit, bootstrap, matching, metrics, splits, thresholds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -488,7 +488,7 @@ def judge_json(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def claim_graph(spark: SparkSession, d: str) -> DataFrame:
     claim = F.concat(F.lit("A fire symbol on the Encoder identifies it as trained, while the "), F.col("text"), F.lit(" is to the left of the Decoder."))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", graphs.extract_graph(claim).alias("g"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", claim.alias("claim")).transform(lambda df: claimgraph.with_graphs(df, "claim", "g"))
     return rows.select("conv_id", "turn", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), graphs.dump_graph(F.col("g")).alias("graph"))
 
 

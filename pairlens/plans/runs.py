@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import jsontools
-from pairlens.functions.graphs import claim_examples
+from pairlens.functions.claimgraph import claim_examples
 from pairlens.operators import bootstrap, matching, metrics, models, splits, thresholds
 
 

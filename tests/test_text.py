@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairlens.functions import features, graphs, jsontools, keys, text
+from pairlens.functions import claimgraph, features, graphs, jsontools, keys, text
 
 
 def one(spark, value, column):
@@ -73,11 +73,45 @@ def test_canonical_hash(spark):
     assert flat == one(spark, '{"b": 1, "a": "é"}', jsontools.canonical_hash_of_json)
 
 
-def test_graph_of_a_claim():
-    g = graphs.extract("A fire symbol on the ControlNet identifies it as trained, whereas a snowflake symbol on the Base DiT identifies it as frozen.")
-    query = {n["id"]: n["query"] for n in g["nodes"]}
-    edges = {(query[e["src"]], e["rel"], query[e["dst"]]) for e in g["edges"]}
-    assert ("fire symbol", "means", "trained") in edges and ("fire symbol", "on", "ControlNet") in edges
+def graphs_of(spark, claims):
+    rows = claimgraph.with_graphs(spark.createDataFrame(list(enumerate(claims)), "i int, claim string")).orderBy("i").collect()
+    out = []
+    for r in rows:
+        query = {n.id: n.query for n in r.graph.nodes}
+        out.append(([(n.query, n.kind) for n in r.graph.nodes], [(query[e.src], e.rel, query[e.dst], e["class"]) for e in r.graph.edges]))
+    return out
+
+
+def test_graphs_of_claims(spark):
+    claims = [
+        "A fire symbol on the ControlNet identifies it as trained, whereas a snowflake symbol on the Base DiT identifies it as frozen.",
+        "the blue arrow points from the Sampler to the Critic. The end",
+        'The legend labeled "Loss terms" is above the Encoder block, and the Decoder below it.',
+        "The Fusion block between the Encoder and the Decoder, identifies the Critic Head as trainable.",
+        "**Frozen** module and **Note - this** with “quoted words” here",
+        "Panel A reads: input image. Panel B is titled output. red denotes frozen weights",
+        None, "", "nothing that a rule knows",
+        ". ".join(f"Node{i} above Place{i}" for i in range(20)),
+    ]
+    got = graphs_of(spark, claims)
+    assert {("fire symbol", "means", "trained", "sem"), ("fire symbol", "on", "ControlNet", "geo"), ("snowflake symbol", "means", "frozen", "sem"), ("snowflake symbol", "on", "Base DiT", "geo")} <= set(got[0][1])
+    assert ("trained", "attr") in got[0][0] and ("fire symbol", "object") in got[0][0] and ("Base DiT", "region") in got[0][0]
+    assert ("Sampler", "connects", "Critic", "geo") in got[1][1]
+    assert any(e[1] == "labeled" and e[0].lower() == "legend" for e in got[2][1])
+    assert {("Fusion block", "between", "Encoder", "geo"), ("Fusion block", "between", "Decoder", "geo"), ("Critic Head", "means", "trainable", "sem")} <= set(got[3][1])
+    assert [n for n in got[4][0][:2]] == [("Frozen", "attr"), ("Note - this", "text")] and ("quoted words", "text") in got[4][0]
+    assert ("Panel", "labeled", "output", "sem") in got[5][1] and ("red", "means", "frozen weights", "sem") in got[5][1]
+    assert got[6] == got[7] == got[8] == ([], [])
+    assert len(got[9][0]) == 12 and all(rel == "above" for _, rel, _, _ in got[9][1])
+    edges = claimgraph.claim_edges(spark.createDataFrame([(1, claims[1])], "id int, claim string")).collect()
+    assert [tuple(e)[2:] for e in edges] == [x for x in got[1][1]]
+
+
+def test_graphs_in_sql(spark):
+    graphs.register(spark)
+    spark.createDataFrame([('{"nodes": [{"id": "a", "query": "Encoder"}, {"id": "b", "query": "Loss"}], "edges": [{"src": "a", "dst": "b", "rel": "on"}]}',), ("none",)], "answer string").createOrReplaceTempView("answers")
+    got = spark.sql("SELECT e.* FROM (SELECT to_json(parse_graph(answer)) AS g FROM answers) s, LATERAL graph_edges(s.g) e").collect()
+    assert [tuple(r) for r in got] == [("Encoder", "on", "Loss", "geo")]
 
 
 def test_canonical_graphs():
@@ -105,9 +139,9 @@ def test_claim_graph_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r for r in queries.claim_graph(spark, str(tmp_path)).collect()}
     assert "Sampler" in got[1, 0].graph and "Critic" in got[1, 0].graph and len(got) == 3
-    for conv, turn, t in rows[:2]:
-        want = graphs.extract(f"A fire symbol on the Encoder identifies it as trained, while the {t} is to the left of the Decoder.")
-        assert (got[conv, turn].nodes, got[conv, turn].edges) == (len(want["nodes"]), len(want["edges"]))
+    want = graphs_of(spark, [f"A fire symbol on the Encoder identifies it as trained, while the {t} is to the left of the Decoder." for *_, t in rows[:2]])
+    for (conv, turn, _), (nodes, edges) in zip(rows, want):
+        assert (got[conv, turn].nodes, got[conv, turn].edges) == (len(nodes), len(edges))
 
 
 def test_record_keys_of_texts_with_escapes(spark, tmp_path):
