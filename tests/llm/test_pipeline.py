@@ -31,7 +31,7 @@ def test_stages_take_an_empty_table(spark):
 def test_sql(spark):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.QUERIES[name](spark, d)
