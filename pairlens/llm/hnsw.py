@@ -13,6 +13,10 @@ import numpy as np
 M, EF, EF_BUILD, EXPAND, LANES = 16, 32, 48, 4, 512
 #: Nearest neighbours that an audit asks for, and the share of them that it wants.
 NEIGHBOURS, NEAR_ENOUGH = 3, 0.95
+#: Nodes that a search starts from; beam that a search for pairs starts with; pairs that an audit plants.
+ENTRIES, REACH, PLANTED = 16, 8, 512
+#: Nearest of its own neighbours that have an edge back to a node; edges that a node has for that, at most.
+BACK, MORE = 4, 32
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, width: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -109,8 +113,8 @@ def _link_back(x: np.ndarray, edges: np.ndarray, new: np.ndarray, width: int) ->
 class Graph:
     """x: unit vectors as float32, by falling level; layers: adjacency arrays, the lowest first; more: what else there is by node."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, layers: list[np.ndarray], ef: int = EF, **more: np.ndarray):
-        self.x, self.ids, self.layers, self.ef, self.more = x, ids, layers, ef, more
+    def __init__(self, x: np.ndarray, ids: np.ndarray, layers: list[np.ndarray], ef: int = EF, reach: int = REACH, **more: np.ndarray):
+        self.x, self.ids, self.layers, self.ef, self.reach, self.more = x, ids, layers, ef, reach, more
 
     def __getattr__(self, name: str) -> np.ndarray:
         if name != "more" and name in self.more:
@@ -125,6 +129,8 @@ class Graph:
         g = cls(x, ids, [], **{k: v[order] for k, v in more.items()})
         for l in range(int(level.max()) if len(x) else 0, -1, -1):
             g.layers.insert(0, g._layer(int((level >= l).sum()), M * (2 if l == 0 else 1)))
+        if len(x):
+            g._point_back()
         return g
 
     def _layer(self, n: int, width: int) -> np.ndarray:
@@ -153,23 +159,58 @@ class Graph:
             _link_back(x, edges, new, width)
         return edges
 
+    def _point_back(self) -> None:
+        """Edges of the lowest layer from the BACK nearest neighbours of each node to it, in columns of their own: among many near copies a full list drops nodes, and no search gets to them."""
+        x, edges = self.x, self.layers[0]
+        src, dst = [], []
+        for at in range(0, len(x), 4096):
+            part = edges[at : at + 4096]
+            sims = np.where(part >= 0, np.einsum("qd,qed->qe", x[at : at + 4096], x[np.maximum(part, 0)]), -2)
+            near = _top(part, sims, BACK)[0]
+            node = np.repeat(np.arange(at, at + len(part)), near.shape[1])
+            near = near.ravel()
+            node, near = node[near >= 0], near[near >= 0]
+            lost = ~(edges[near] == node[:, None]).any(1)
+            src.append(near[lost])
+            dst.append(node[lost])
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        known = np.bincount(edges[edges >= 0], minlength=len(x))
+        order = np.lexsort((known[dst], src))  # those that fewest edges lead to come first
+        src, dst = src[order], dst[order]
+        place = np.arange(len(src)) - np.searchsorted(src, src)
+        src, dst, place = src[place < MORE], dst[place < MORE], place[place < MORE]
+        if len(src):
+            more = np.full((len(x), int(place.max()) + 1), -1, np.int32)
+            more[src, place] = dst
+            self.layers[0] = np.concatenate([edges, more], 1)
+
     def _descend(self, queries: np.ndarray, layers: list[np.ndarray] | None = None) -> np.ndarray:
         entry = np.zeros((len(queries), 1), np.int64)
         for edges in reversed(self.layers if layers is None else layers):
             entry = _beam(self.x[: len(edges)], edges, queries, entry, 2)[0]
         return entry
 
+    def _entries(self, queries: np.ndarray) -> np.ndarray:
+        """The nodes nearest to each query of the layer above the lowest, a sixteenth of all: looked at whole, as a descent ends in one place, often a wrong one."""
+        if len(self.layers) < 2:
+            return np.zeros((len(queries), 1), np.int64)
+        s = queries @ self.x[: len(self.layers[1])].T
+        most = min(ENTRIES, s.shape[1])
+        return np.argpartition(-s, most - 1, axis=1)[:, :most]
+
     def search(self, queries: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        return _beam(self.x, self.layers[0], queries, self._descend(queries, self.layers[1:]), min(ef, len(self.x)))
+        return _beam(self.x, self.layers[0], queries, self._entries(queries), min(ef, len(self.x)))
 
     def within(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of the pairs found with a cosine of least or more.
 
-        A beam full of such nodes is too narrow: those queries go again with twice the beam.
+        A beam full of such nodes is too narrow: those queries go again with
+        twice the beam.  A node so near stands out, and the beam that the audit
+        sets for pairs, reach, is narrower than that for neighbours.
         """
         rows, nodes = [], []
         for at in range(0, len(queries), LANES):
-            todo, ef = np.arange(at, min(at + LANES, len(queries))), self.ef
+            todo, ef = np.arange(at, min(at + LANES, len(queries))), self.reach
             while len(todo):
                 ids, sims = self.search(queries[todo], ef)
                 hit = (sims >= least) & (ids >= 0)
@@ -180,10 +221,21 @@ class Graph:
                 todo, ef = todo[narrow], ef * 2
         return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
 
+    def planted(self, least: float, n: int, seed: int = 7) -> np.ndarray:
+        """Vectors a cosine of least from a node each, in random directions: the pairs that are hardest to find, in any shard."""
+        rng = np.random.default_rng(seed)
+        y = self.x[rng.integers(0, len(self.x), n)].astype(np.float64)
+        z = rng.normal(size=y.shape)
+        z -= (z * y).sum(1, keepdims=True) * y
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        y, z, norm = (v[norm[:, 0] > 1e-9] for v in (y, z, norm))  # one dimension has no such directions
+        c = min(1.0, least + 1e-5)
+        return (c * y + np.sqrt(1 - c * c) * z / norm).astype(np.float32)
+
     def audit(self, least: float, want: float, queries: np.ndarray, own: np.ndarray | None = None) -> tuple[float, float]:
-        """Widens the beam until the search finds the share want of what brute force finds for queries: pairs of least or more; and NEAR_ENOUGH of the NEIGHBOURS nearest.
+        """Widens the beams until the search finds the share want of what brute force finds: pairs of least or more, of queries and of planted vectors; and NEAR_ENOUGH of the NEIGHBOURS nearest of queries.
 
-        own: the ids of the queries; a query's pair with itself counts for nothing.  Returns both shares.
+        own: the ids of the queries; a query's pair with itself counts for nothing.  Returns both shares, of pairs the lesser.
         """
         n = len(self.x)
         if not n or not len(queries):
@@ -195,23 +247,25 @@ class Graph:
         best = min(NEIGHBOURS, n)
         top = np.argpartition(-s, best - 1, axis=1)[:, :best]
         top = [t[v > -2] for t, v in zip(top, np.take_along_axis(s, top, 1), strict=True)]
-        truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= least), strict=True)}
+        probes = self.planted(least, PLANTED)
+        asked = [(v, {(int(i), int(j)) for i, j in zip(*np.nonzero(t >= least), strict=True)}) for v, t in ((q, s), (probes, probes @ self.x.T))]
+        share = lambda v, truth: len(truth & {(int(i), int(j)) for i, j in zip(*self.within(v, least), strict=True)}) / len(truth) if truth else 1.0
+        while (recall := min(share(*a) for a in asked)) < want and self.reach < n:
+            self.reach *= 2
         while True:
-            found = {(int(i), int(j)) for i, j in zip(*self.within(q, least), strict=True)}
-            recall = len(found & truth) / len(truth) if truth else 1.0
             ids = np.concatenate([self.search(q[a : a + LANES], self.ef)[0] for a in range(0, len(q), LANES)])
             knn = float(np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(ids, top, strict=True) if len(b)] or [1.0]))
-            if (recall >= want and knn >= NEAR_ENOUGH) or self.ef >= n:
+            if knn >= NEAR_ENOUGH or self.ef >= n:
                 return recall, knn
             self.ef *= 2
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, ids=self.ids, ef=self.ef, **{f"m_{k}": v for k, v in self.more.items()}, **{f"l{i}": e for i, e in enumerate(self.layers)})
+        np.savez(out, x=self.x, ids=self.ids, ef=self.ef, reach=self.reach, **{f"m_{k}": v for k, v in self.more.items()}, **{f"l{i}": e for i, e in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
         layers = sum(k[0] == "l" for k in z.files)
-        return cls(z["x"], z["ids"], [z[f"l{i}"] for i in range(layers)], int(z["ef"]), **{k[2:]: z[k] for k in z.files if k.startswith("m_")})
+        return cls(z["x"], z["ids"], [z[f"l{i}"] for i in range(layers)], int(z["ef"]), int(z["reach"]), **{k[2:]: z[k] for k in z.files if k.startswith("m_")})

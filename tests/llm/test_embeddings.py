@@ -20,6 +20,25 @@ def test_recall():
     assert (again.within(x[:50].astype(np.float32), 0.9)[1] == g.within(x[:50].astype(np.float32), 0.9)[1]).all()
 
 
+def test_links_at_the_threshold_are_found_with_a_narrow_beam():
+    """Vectors without neighbours but planted ones, and a crowd of near copies: the beam for pairs stays narrow where that for neighbours cannot."""
+    rng = np.random.default_rng(11)
+    crowd = rng.normal(size=(1, 64)) + 0.1 * rng.normal(size=(400, 64))
+    x = np.concatenate([rng.normal(size=(4000, 64)), crowd])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph.build(x, np.arange(len(x)))
+    pairs, neighbours = g.audit(0.95, 0.98, x[::20], np.arange(len(x))[::20])
+    assert pairs >= 0.98 and neighbours >= 0.95
+    assert g.reach <= g.ef // 2 and Graph.load(g.dump()).reach == g.reach
+    q = g.planted(0.95, 1500, seed=3)
+    near = q.astype(float) @ g.x.astype(float).T
+    truth = set(zip(*(a.tolist() for a in np.nonzero(near >= 0.95))))
+    found = set(zip(*(a.tolist() for a in g.within(q, 0.95))))
+    assert len(found & truth) >= 0.97 * len(truth)
+    edges = g.layers[0]
+    assert np.bincount(edges[edges >= 0], minlength=len(x)).min() > 0
+
+
 def test_small_graphs():
     for n in (1, 2, 3, 70):
         x = np.random.default_rng(n).normal(size=(n, 4))
