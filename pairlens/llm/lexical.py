@@ -66,7 +66,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
             df = np.bincount(w, minlength=len(names))
             out = pa.RecordBatch.from_pydict({
                 "block": pa.array([task + number], pa.int64()), "doc_ids": pa.array([[ids[k] for k in order]], pa.list_(pa.int64())), "n": pa.array([np.asarray(n, np.int64)[order]]), "terms": pa.array([list(names)], pa.list_(pa.binary())),
-                "df": pa.array([df.astype(np.int32)]), "docs": pa.array([d[by_term].astype(np.int32)]), "tf": pa.array([c[by_term]]),
+                "df": pa.array([df.astype(np.int32)]), "docs": pa.array([d[by_term].astype(np.int32)]), "tf": pa.array([c[by_term].astype(np.int32)]),
             })
             number += 1
             for x in (ids, n, doc, term, tf, names):
@@ -92,7 +92,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(run), "block long, doc_ids array<long>, n array<long>, terms array<binary>, df array<int>, docs array<int>, tf array<long>")
+    return rows.mapInArrow(tidy(run), "block long, doc_ids array<long>, n array<long>, terms array<binary>, df array<int>, docs array<int>, tf array<int>")
 
 
 def query_terms(queries: DataFrame, query_id: Column, text: Column) -> DataFrame:
@@ -187,7 +187,7 @@ class Index:
     def __init__(self, docs: DataFrame, asked: DataFrame):
         """asked: the terms to slice, one a row in ``term``."""
         self.t = Tables(docs.sparkSession)
-        self.blocks = self.t.write(count_terms(docs), "blocks")
+        self.blocks = self.t.write(count_terms(docs), "blocks", large=True)
         has = self.blocks.agg(F.sum(F.size("doc_ids")).alias("n"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total")).first()
         self.n, self.total = has.n or 0, has.total or 0
         if not self.n:
@@ -206,7 +206,7 @@ class Index:
             if len(left) and len(right):
                 b = left.slice(0, 1).combine_chunks()
                 one = lambda c: b[c].chunk(0).flatten()
-                n, df, at, tf = (one(c).to_numpy() for c in ("n", "df", "docs", "tf"))
+                n, df, at, tf = (one(c).to_numpy().astype(np.int64) for c in ("n", "df", "docs", "tf"))
                 names, ends = one("terms"), np.cumsum([0, *df])
                 value = impact(tf, n[at], docs, total)
                 for place, w in zip(right["place"].to_numpy().tolist(), right["w"].to_numpy().tolist()):

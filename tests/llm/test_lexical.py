@@ -79,3 +79,21 @@ def test_slices_add_up_and_rank():
         want = sum(tables[t] * n for t, n in row)
         best = sorted((-s, i) for i, s in enumerate(want) if s)[:20]
         assert sorted(zip((-score).tolist(), at.tolist())) == best
+
+
+def test_blocks_are_row_groups_of_few(spark):
+    """A task's blocks, megabytes each, are not held in memory together, neither by the writer nor by the reader."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from pairlens.llm import common
+
+    t = common.Tables(spark)
+    rows = spark.range(0, 40, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(250_000)), lambda x: F.xxhash64(x, "id")).alias("x"))
+    out = t.write(rows, "large", large=True)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{t.paths[id(out)]}/*.parquet")]
+    assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)) <= 12
+    assert out.select(F.sum(F.size("x"))).first()[0] == 40 * 250_001
+    t.drop(out)
