@@ -87,3 +87,29 @@ def test_resume(spark, tmp_path):
     log = str(tmp_path / "log")
     assert resume.run_once(todo, lambda df: df, log) == 2
     assert resume.run_once(todo, lambda df: df, log) == 0 and spark.read.parquet(log).count() == 2
+
+
+def test_alike_sets_share_keys_and_others_do_not():
+    import numpy as np
+
+    from pairlens.operators.audit import set_keys
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 3000, dtype=np.int64).astype(np.uint64)
+    lengths = rng.integers(2, 12, 3000)
+    keys = lambda at: {(c, k): n for c, k, n in zip(*(x.tolist() for x in set_keys(words[at], lengths[at], 0.8)), strict=True)}
+    for n in [*range(1, 40), 63, 64, 100, 101, 300, 900]:
+        for _ in range(20):
+            a = rng.permutation(3000)[:n]
+            out, new = int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2))
+            b = np.concatenate([a[min(out, n - 1) :], np.setdiff1d(np.arange(3000), a)[:new]])
+            if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+                x, y = keys(a), keys(b)
+                both = [k for k in x if k in y]
+                assert any(sum(c == k[0] for c, _ in both) >= x[k] for k in both), n
+    # a tenth of the words in common, rare or not, makes no candidates
+    for _ in range(50):
+        a, b = (np.concatenate([np.arange(20), 20 + rng.permutation(2980)[:180]]) for _ in range(2))
+        x, y = keys(a), keys(b)
+        both = [k for k in x if k in y]
+        assert not any(sum(c == k[0] for c, _ in both) >= x[k] for k in both)
