@@ -15,6 +15,8 @@ M, EF, EF_BUILD, EXPAND, LANES = 16, 32, 48, 4, 512
 NEIGHBOURS, NEAR_ENOUGH = 3, 0.95
 #: Nodes that a search starts from; beam that a search for pairs starts with; pairs that an audit plants.
 ENTRIES, REACH, PLANTED = 16, 8, 512
+#: Share of planted pairs that an audit wants at least: no less than the neighbours' wider beam finds.
+FOUND = 0.99
 #: Nearest of its own neighbours that have an edge back to a node; edges that a node has for that, at most.
 BACK, MORE = 4, 32
 
@@ -248,10 +250,13 @@ class Graph:
         top = np.argpartition(-s, best - 1, axis=1)[:, :best]
         top = [t[v > -2] for t, v in zip(top, np.take_along_axis(s, top, 1), strict=True)]
         probes = self.planted(least, PLANTED)
-        asked = [(v, {(int(i), int(j)) for i, j in zip(*np.nonzero(t >= least), strict=True)}) for v, t in ((q, s), (probes, probes @ self.x.T))]
+        asked = [(v, {(int(i), int(j)) for i, j in zip(*np.nonzero(t >= least), strict=True)}, w) for v, t, w in ((q, s, want), (probes, probes @ self.x.T, max(want, FOUND)))]
         share = lambda v, truth: len(truth & {(int(i), int(j)) for i, j in zip(*self.within(v, least), strict=True)}) / len(truth) if truth else 1.0
-        while (recall := min(share(*a) for a in asked)) < want and self.reach < n:
+        found = [share(v, t) for v, t, _ in asked]
+        while any(f < w for f, (*_, w) in zip(found, asked, strict=True)) and self.reach < n:
             self.reach *= 2
+            found = [share(v, t) for v, t, _ in asked]
+        recall = min(found)
         while True:
             ids = np.concatenate([self.search(q[a : a + LANES], self.ef)[0] for a in range(0, len(q), LANES)])
             knn = float(np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(ids, top, strict=True) if len(b)] or [1.0]))
