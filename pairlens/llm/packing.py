@@ -27,9 +27,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,12 @@ from pairlens.llm.common import Tables, ids_and_text, tidy
 CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that each of the two generations of a task's cache holds.
-CACHED_WORDS = 120_000
+#: Words whose ids a task keeps, about 40 bytes each.
+CACHED_WORDS = 250_000
+#: A mark behind a letter or digit; apostrophes may begin an ending.
+MARK = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~])"
+#: Bytes of text that are split into words at once, or one text.
+SLICE_BYTES = 4 << 20
 
 
 @lru_cache(1)
@@ -50,35 +57,76 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def _parts_marks(path: str) -> bool:
+    """Whether the tokenizer parts a letter or digit from a mark behind it, whichever they are."""
+    tokenizer = _tokenizer(path)
+    parts = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else lambda x: [x]
+    return all(len(parts(a + b)) == 2 for a in ascii_letters + digits for b in punctuation if b != "'")
+
+
 class Encoder:
     """The ids of texts.  The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words in order; a test compares the two.
+    text's ids are those of its words in order; a test compares the two.  Where the tokenizer also
+    parts words from marks behind them, they are looked up apart: fewer strings are distinct.
 
-    A word's ids are kept while it is in use: when the young generation is full it becomes the old
-    one, and words that are met again come back from there.
+    Arrow splits texts into words, numbers the distinct ones and finds those that are known, so
+    that Python sees new words only.  When too many are known, those that were met again stay.
     """
 
     def __init__(self, path: str, end: int = END):
         self.tokenizer, self.end = _tokenizer(path), array("I", [end]).tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def ids_of(self, texts: list[bytes | None]) -> list[bytes]:
+        self.parts_marks = _parts_marks(path)
+        self.words, self.ids, self.again = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+
+    def _encoded(self, words: pa.Array) -> pa.Array:
+        texts = [w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = 4 * np.cumsum([0, *map(len, ids)], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4)
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words stand in self.words, of which they become a part."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        self.again[at.drop_null().to_numpy()] = True
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, self.ids = self.words.filter(pa.array(self.again)), self.ids.filter(pa.array(self.again))
+            self.again = np.zeros(len(self.words), bool)
+            at = pc.index_in(words, value_set=self.words)
+        first = len(self.words)
+        self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self._encoded(new)])
+        self.again = np.append(self.again, np.zeros(len(new), bool))
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = first + np.arange(len(new))
+        return out
+
+    def ids_of(self, texts: pa.Array) -> list[memoryview]:
         """The ids of each text and the end id, little-endian 32 bits each."""
-        split = [(t or b"").split() for t in texts]
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = {w for ws in split for w in ws}.difference(young)
-        if old:
-            known = new.intersection(old)
-            young.update((w, old[w]) for w in known)
-            new -= known
-        new = list(new)
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        young.update(zip(new, [array("I", e.ids).tobytes() for e in encoded], strict=True))
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.parts_marks:
+            texts = pc.replace_substring_regex(texts, MARK, r"\1 \2")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ends = np.diff(split.offsets.to_numpy()).cumsum()
+        places = np.append(self._places(coded.dictionary), len(self.words))
+        word = np.insert(coded.indices.to_numpy(), ends, len(places) - 1)  # the end after the last word of each text
+        ids = pa.concat_arrays([self.ids, pa.array([self.end], pa.large_binary())])
+        joined = ids.take(pa.array(places[word]))
+        _, offsets, data = joined.buffers()
+        upto = np.frombuffer(offsets, np.int64)[joined.offset :]
+        out, cuts = memoryview(data), [int(upto[0]), *upto[ends + np.arange(1, len(ends) + 1)].tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _short(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """b in slices of about SLICE_BYTES of text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)), 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield b.slice(at, to - at)
+        at = to
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -90,16 +138,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
 
         task, encoder = TaskContext.get().partitionId(), Encoder(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
+        for b in (x for batch in batches for x in _short(batch)):
             rows: list[tuple] = []
-            for at in range(0, len(texts), 512):
-                for doc_id, ids in zip(b.column("doc_id")[at : at + 512].to_pylist(), encoder.ids_of(texts[at : at + 512]), strict=True):
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[s : s + 4 * capacity]
-                        n = len(part) // 4
-                        rows.append((doc_id, k, s // 4, n, zlib.crc32(part), task, int(seen[n]), *([part] if keep_ids else [])))
-                        seen[n] += 1
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids_of(b.column("text")), strict=True):
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[s : s + 4 * capacity]
+                    n = len(part) // 4
+                    rows.append((doc_id, k, s // 4, n, zlib.crc32(part), task, int(seen[n]), *([bytes(part)] if keep_ids else [])))
+                    seen[n] += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][: len(types) - (not keep_ids)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names=names)

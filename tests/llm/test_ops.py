@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -75,6 +76,33 @@ def test_packing_round_trip(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_encoder_looks_up_each_word_once_and_gives_the_tokenizers_ids(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tok, asked = Tokenizer.from_file(path), []
+    rng, signs = random.Random(3), [*"abZé7_,.;'=-", "'s", "'ll", "\u0301", "\u0338", "\u030c", "J", " ", "\n", "\x1c", "\u00a0", "💡"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000)] + [None, "", "  ", "word, word. word; (word word"]
+    for known in (packing.CACHED_WORDS, 50):  # in the second round most words are given up again
+        monkeypatch.setattr(packing, "CACHED_WORDS", known)
+        encoder = packing.Encoder(path)
+        got = [bytes(x) for at in range(0, len(texts), 500) for x in encoder.ids_of(pa.array(texts[at : at + 500], pa.string()))]
+        assert got == [np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+    class Counting:
+        def encode_batch_fast(self, words, **kw):
+            asked.extend(words)
+            return tok.encode_batch_fast(words, **kw)
+
+    encoder = packing.Encoder(path)
+    encoder.tokenizer = Counting()
+    for _ in range(2):
+        encoder.ids_of(pa.array(texts[-1:], pa.string()))
+    assert sorted(asked) == sorted({"word", ",", ".", ";", "(word"})
+
+
 # WARC
 def test_archives(spark):
     pages = spark.createDataFrame([(1, "http://a/ b", "<p>x</p>", 1), (2, None, "<p>x</p>", 1), (3, "u", None, 1), (4, "u", "", 1), (5, "u", "é" * 400_000, 1), (5, "u", "é" * 400_000, 1), (None, "u", "<p>x</p>", 1), (None, "u", "lone", 1)], "page_id long, url string, html string, n int")
