@@ -221,7 +221,7 @@ def by_cell(rows: DataFrame, columns: list[str], found, schema: str, joined=None
     joined makes one batch of several, so that a task gives what it found as few rows.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = rows.select("key", "i", "j", *columns).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grouped = rows.select(*dict.fromkeys(["key", "i", "j", *columns])).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:

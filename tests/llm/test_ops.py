@@ -290,6 +290,41 @@ def test_shingle_groups_over_blocks(spark, monkeypatch):
     assert want == {i: label[i] for i in range(len(rows))}
 
 
+def test_rows_travel_by_group_and_meet_as_by_key(spark, monkeypatch):
+    """A row for each first codeword, a fifth of the keys, finds the pairs that keys find: also of large keys and shared groups."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**64, (300, simjaccard.WORDS64), dtype=np.uint64)
+    words[120:] = words[rng.integers(0, 4, 180)]  # four families
+    flips = rng.random((300, simjaccard.WORDS64, 64)) < np.repeat([0.0, 0.06], [120, 180])[:, None, None]
+    words ^= np.packbits(flips, axis=2, bitorder="little").view("<u8")[..., 0]
+    rows = [(i, *map(int, w)) for i, w in enumerate(words.view(np.int64))]
+    own = spark.createDataFrame(rows, "uid long, " + ", ".join(f"w{j} long" for j in range(simjaccard.WORDS64)))
+    by_key = {}
+    for row, key in simjaccard.pair_keys(words):
+        for r, k in zip(row.tolist(), key.tolist(), strict=True):
+            by_key.setdefault(k, []).append(r)
+    halves = lambda k: (words[:, -1], words[:, 3 if k >> 24 < 5 else 0])
+    edges = {(a, b) for k, rs in by_key.items() for a in rs for b in rs if a < b and sum(int(h[a] ^ h[b]).bit_count() for h in halves(k)) <= simjaccard.SKETCH_BITS}
+    want = _reach(300, lambda i, j: (j, i) in edges)
+    assert 4 < len(set(want)) < 200
+
+    def got():
+        counts = simhash.large_keys(own, simjaccard._counted).withColumn("key", F.col("key").cast("int")).cache()
+        pairs = {(min(r), max(r)) for r in simjaccard.candidate_pairs(own, counts).collect()}
+        return _reach(300, lambda i, j: (j, i) in pairs), simjaccard.Grouping.of(counts)
+
+    label, plain = got()
+    assert label == want and not len(plain.large)
+    batch = own.toArrow().combine_chunks().to_batches()[0]
+    travelling = sum(b.num_rows for b in plain.rows(batch))
+    assert 5 * travelling < sum(map(len, by_key.values())) and not any(b.num_rows for b in plain.large_rows(batch))
+    monkeypatch.setattr(simhash, "LOCAL", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    monkeypatch.setattr(simjaccard, "GROUP_ROWS", 9)
+    label, cut = got()
+    assert label == want and len(cut.large) and cut.shares.max() > 1
+
+
 def test_candidates_of_a_cell():
     rng = np.random.default_rng(1)
     n = 60
