@@ -34,6 +34,8 @@ OWNER = r"(legend|panel|block|region|box|title|caption|model|loss)\b[^.]*$"
 LABEL = rf"(?:labeled|reads|titled|named)\s+(.{{2,60}}?){STOP}"
 #: Unicode for words, spaces and cases; only a line feed ends a line.
 FLAGS = "(?iuUd)"
+#: Marks around a match and between its groups; texts that have them are searched group by group.
+CUT, CELL = "\ue000", "\ue001"
 WHOLE, LAST, FIRST = "whole", "last six words", "first six words"
 SYMBOL, TOLD = "object, if it is a symbol or an arrow", "attribute or text"
 
@@ -47,18 +49,19 @@ class Rule:
     kind_a: str | None = None
     kind_b: str | None = None
     also: tuple[int, ...] = ()  # groups that have to be mentions too
+    needs: str = ""  # no text without this has a match
 
 
 _BETWEEN = rf"(.{{3,40}}?)\s+between\s+(?:the |a )?(.{{3,30}}?)\s+and\s+(?:the |a )?(.{{3,30}}?){STOP}"
 RULES = [
-    Rule(rf"(.{{3,55}}?)\s+({'|'.join(PLACES)})\s+(?:the |a |an )?(.{{3,55}}?){CLAUSE}", (1, LAST), (3, FIRST), 2, SYMBOL),
-    Rule(rf"(?:arrow|connector)\b.{{0,40}}?\bfrom\s+(?:the |a )?(.{{3,40}}?)\s+(?:to|toward|into)\s+(?:the |a )?(.{{3,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "connects", SYMBOL),
-    Rule(rf"points?\s+from\s+(?:the |a )?(.{{3,40}}?)\s+(?:to|toward)\s+(?:the |a )?(.{{3,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "connects", SYMBOL),
-    Rule(rf"(.{{3,50}}?)\s+on\s+(?:the |a )?.{{3,40}}?\s+identifies\s+(?:it|them|this)\s+as\s+(.{{2,40}}?){END}", (1, LAST), (2, WHOLE), "means", None, TOLD),
-    Rule(rf"identifies\s+(?:it|them|this|the (.{{3,30}}?))\s+as\s+(.{{2,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "means", None, TOLD),
-    Rule(rf"(.{{3,40}}?)\s+(?:denotes|represents|means|named)\s+(.{{2,40}}?){STOP}", (1, LAST), (2, WHOLE), "means", None, TOLD),
-    Rule(_BETWEEN, (1, LAST), (2, WHOLE), "between", also=(3,)),
-    Rule(_BETWEEN, (1, LAST), (3, WHOLE), "between", also=(2,)),
+    Rule(rf"(.{{3,55}}?)\s+({'|'.join(PLACES)})\s+(?:the |a |an )?(.{{3,55}}?){CLAUSE}", (1, LAST), (3, FIRST), 2, SYMBOL, needs="|".join(PLACES)),
+    Rule(rf"(?:arrow|connector)\b.{{0,40}}?\bfrom\s+(?:the |a )?(.{{3,40}}?)\s+(?:to|toward|into)\s+(?:the |a )?(.{{3,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "connects", SYMBOL, needs="arrow|connector"),
+    Rule(rf"points?\s+from\s+(?:the |a )?(.{{3,40}}?)\s+(?:to|toward)\s+(?:the |a )?(.{{3,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "connects", SYMBOL, needs="point"),
+    Rule(rf"(.{{3,50}}?)\s+on\s+(?:the |a )?.{{3,40}}?\s+identifies\s+(?:it|them|this)\s+as\s+(.{{2,40}}?){END}", (1, LAST), (2, WHOLE), "means", None, TOLD, needs="identifies"),
+    Rule(rf"identifies\s+(?:it|them|this|the (.{{3,30}}?))\s+as\s+(.{{2,40}}?){STOP}", (1, WHOLE), (2, WHOLE), "means", None, TOLD, needs="identifies"),
+    Rule(rf"(.{{3,40}}?)\s+(?:denotes|represents|means|named)\s+(.{{2,40}}?){STOP}", (1, LAST), (2, WHOLE), "means", None, TOLD, needs="denotes|represents|means|named"),
+    Rule(_BETWEEN, (1, LAST), (2, WHOLE), "between", also=(3,), needs="between"),
+    Rule(_BETWEEN, (1, LAST), (3, WHOLE), "between", also=(2,), needs="between"),
 ]
 
 
@@ -91,10 +94,21 @@ def _relation(a: Column, b: Column, rel: Column, kind_a: str | None, kind_b: str
     return F.struct(a.alias("a"), b.alias("b"), rel.alias("rel"), _kind(kind_a, a).alias("ka"), _kind(kind_b, b).alias("kb"))
 
 
+def _groups(body: str, rule: Rule) -> Column:
+    """The groups of every match of a rule, in the order of the text: one pass writes them between marks, and none is made for a text without the rule's words."""
+    groups = {"a": rule.a[0], "b": rule.b[0], **({"rel": rule.relation} if isinstance(rule.relation, int) else {}), **{f"also{g}": g for g in rule.also}}
+    text, expression = F.col(body), FLAGS + rule.expression
+    marked = F.regexp_replace(text, expression, CUT + CELL.join(f"${g}" for g in groups.values()) + CUT)
+    cells = F.transform(F.filter(F.split(marked, CUT, -1), lambda x, i: i % 2 == 1), lambda x: F.split(x, CELL, -1))
+    once = F.transform(cells, lambda x: F.struct(*[F.get(x, i).alias(n) for i, n in enumerate(groups)]))
+    each = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(expression), F.lit(g)).alias(n) for n, g in groups.items()])
+    none = F.array().cast("array<struct<" + ", ".join(f"{n}: string" for n in groups) + ">>")
+    return F.when(~text.rlike(FLAGS + f"(?:{rule.needs})"), none).when(text.rlike(f"[{CUT}{CELL}]"), each).otherwise(once)
+
+
 def _found(body: str, rule: Rule) -> Column:
     """The relations of one rule, in the order of the text."""
-    groups = {"a": rule.a[0], "b": rule.b[0], **({"rel": rule.relation} if isinstance(rule.relation, int) else {}), **{f"also{g}": g for g in rule.also}}
-    parts = F.arrays_zip(*[F.regexp_extract_all(F.col(body), F.lit(FLAGS + rule.expression), F.lit(g)).alias(n) for n, g in groups.items()])
+    parts = _groups(body, rule)
     places = F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv])
     # the second rule of meaning strips marks around what is meant
     end = (lambda m: F.regexp_replace(m, r'^[*" ]+|[*" ]+$', "")) if rule.kind_b == TOLD else (lambda m: m)

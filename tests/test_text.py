@@ -155,3 +155,21 @@ def test_record_keys_of_texts_with_escapes(spark, tmp_path):
     record = lambda i, t: {"caption": t, "image": f"{i}.png", "model": "m", "protocol": "p", "sample_id": str(i)}
     want = {i: hashlib.sha256(json.dumps(record(i, t), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for i, t in enumerate(texts)}
     assert {r.item_id: r.record_key for r in queries.record_keys(spark, str(tmp_path)).collect()} == want
+
+
+def test_groups_of_a_rule_come_from_one_pass(spark, tmp_path):
+    """As from a search for each group, also where a text has the marks, and rows of one file are spread."""
+    from pairlens.plans import queries
+
+    texts = ["\ue000 The Encoder\ue001 is above the Decoder, the arrow from the A box to the B box.", "The red arrow from the Encoder to the Decoder, on the left.", "A fire symbol on the Encoder identifies it as trained; the Loss means cost.", "the Fusion block between the Encoder and the Decoder, above the Critic",
+             "identifies the Critic Head as frozen, identifies them as fixed.", "points from the A box to the B box;  x is above the Encoder, below the Loss", "nothing here", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = 0
+    for rule in claimgraph.RULES:
+        for n, g in (("a", rule.a[0]), ("b", rule.b[0])):
+            rows = df.select(F.transform(claimgraph._groups("t", rule), lambda x: x[n]).alias("got"), F.regexp_extract_all("t", F.lit(claimgraph.FLAGS + rule.expression), F.lit(g)).alias("want")).collect()  # noqa: B023
+            assert [r.got for r in rows] == [r.want for r in rows]
+            found += sum(len(r.want) for r in rows)
+    assert found > 20
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.claim_graph(spark, str(tmp_path)).rdd.getNumPartitions() > 1
