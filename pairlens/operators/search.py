@@ -11,7 +11,7 @@ zero mean and unit deviation of the training set, classes weighted alike, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +47,10 @@ def _arrays(b: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return b.column("x").flatten().to_numpy().reshape(-1, d), b.column("y").to_numpy(), b.column("fold").flatten().to_numpy().reshape(len(b), -1)
 
 
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.array(list(a), pa.list_(pa.float64()))
+
+
 @dataclass
 class Sets:
     """Training sets by (repeat, fold): sizes, mean and deviation of the features, and weights of the two classes."""
@@ -148,16 +152,40 @@ class Search:
 
     def out_of_fold(self, key: str) -> DataFrame:
         """candidate, repeat, fold, key, y and p: each row scored, once a repeat, by the models that did not see its group; one scan."""
-        w, constant = self.raw()
-        d, names = w.shape[-1], F.array(*[F.lit(c.name) for c in self.candidates])
-        kind = self.table.schema[key].dataType.simpleString()
+        score, repeats = self._unseen()
+        d, kind = len(self.features), self.table.schema[key].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, _, fold = _arrays(b, d)
-                for r in range(len(w)):
-                    eta = np.einsum("nd,ncd->nc", x, w[r][fold[:, r]]) + constant[r][fold[:, r]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r, np.int32)), pa.array(fold[:, r]), b.column(key), b.column("y"), pa.array(list(1 / (1 + np.exp(-eta))), pa.list_(pa.float64()))], names=["repeat", "fold", key, "y", "p"])
+                for r in range(repeats):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r, np.int32)), pa.array(fold[:, r]), b.column(key), b.column("y"), _lists(score(x, fold, r))], names=["repeat", "fold", key, "y", "p"])
 
         scored = self.table.select(key, "y", "x", "fold").mapInArrow(run, f"repeat int, fold int, `{key}` {kind}, y int, p array<double>")
-        return scored.select("repeat", "fold", key, "y", F.posexplode("p").alias("c", "p")).select(F.get(names, F.col("c")).alias("candidate"), "repeat", "fold", key, "y", "p")
+        return self._by_candidate(scored, ["repeat", "fold", key, "y"])
+
+    def mean_scores(self, key: str) -> DataFrame:
+        """candidate, key, y and p: the mean over the repeats of what out_of_fold() gives for a row, formed in the scan, so that repeats are not shuffled."""
+        score, repeats = self._unseen()
+        d, kind = len(self.features), self.table.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, _, fold = _arrays(b, d)
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("y"), _lists(sum(score(x, fold, r) for r in range(repeats)) / repeats)], names=[key, "y", "p"])
+
+        return self._by_candidate(self.table.select(key, "y", "x", "fold").mapInArrow(run, f"`{key}` {kind}, y int, p array<double>"), [key, "y"])
+
+    def _unseen(self) -> tuple[Callable[[np.ndarray, np.ndarray, int], np.ndarray], int]:
+        """What scores rows, a column a candidate, by the models of a repeat that did not see them; and the number of repeats."""
+        w, constant = self.raw()
+
+        def score(x: np.ndarray, fold: np.ndarray, r: int) -> np.ndarray:
+            eta = np.einsum("nd,ncd->nc", x, w[r][fold[:, r]]) + constant[r][fold[:, r]]
+            return 1 / (1 + np.exp(-eta))
+
+        return score, len(w)
+
+    def _by_candidate(self, scored: DataFrame, keys: list[str]) -> DataFrame:
+        names = F.array(*[F.lit(c.name) for c in self.candidates])
+        return scored.select(*keys, F.posexplode("p").alias("c", "p")).select(F.get(names, F.col("c")).alias("candidate"), *keys, "p")

@@ -30,7 +30,7 @@ def linear_scorer(spark: SparkSession, d: str) -> DataFrame:
 def _model_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """Labelled documents with their text features; groups are source and first word."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
-    first = F.lower(F.coalesce(F.get(text.words(F.coalesce("text", F.lit(""))), 0), F.lit("")))
+    first = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), text.WORDS, 0))
     rows = rows.select("doc_id", "y", "text", F.concat_ws("/", "source", first).alias("grp"))
     return text.with_text_meta(rows).select("doc_id", "y", "grp", *META), META
 
@@ -41,11 +41,12 @@ def logistic_search(spark: SparkSession, d: str) -> DataFrame:
     from pairlens.operators import models, search
 
     rows, names = _model_rows(spark, d)
+    rows = rows.persist()  # texts are read once, for folds and features
     folds = splits.repeated_folds(rows, "grp", 5, 5)
     data = search.prepare(rows, folds, "grp", "doc_id", names).persist()
     candidates = [c for c in models.base_candidates() if c.family == "logistic"]
     found = search.Search(data, candidates, 5, 5, names)
-    return models.select_candidates(found.out_of_fold("doc_id"), "doc_id").select("candidate", *[F.round(c, 6).alias(c) for c in ("threshold", "min_class_f1", "macro_f1", "accuracy", "f1")])
+    return models.select_candidates(found.mean_scores("doc_id"), "doc_id").select("candidate", *[F.round(c, 6).alias(c) for c in ("threshold", "min_class_f1", "macro_f1", "accuracy", "f1")])
 
 
 @query()

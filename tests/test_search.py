@@ -5,7 +5,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
-from pairlens.operators import models, search, splits
+from pairlens.operators import models, prefix, search, splits, thresholds
 
 NAMES = ["a", "b", "c"]
 LOGISTIC = [c for c in models.base_candidates() if c.family == "logistic"]
@@ -58,6 +58,28 @@ def test_out_of_fold(spark, rows, found):
     assert len(ranked) == 7 and ranked[0].min_class_f1 == max(x.min_class_f1 for x in ranked)
 
 
+def test_mean_scores_are_those_of_the_repeats(spark, found):
+    _, s = found
+    want = {(r.candidate, r.id, r.y): r.p for r in s.out_of_fold("id").groupBy("candidate", "id", "y").agg(F.avg("p").alias("p")).collect()}
+    got = {(r.candidate, r.id, r.y): r.p for r in s.mean_scores("id").collect()}
+    assert got == pytest.approx(want, rel=1e-14) and len(got) == 240 * 7
+
+
+def test_rows_are_read_once(spark, rows, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    folds = splits.repeated_folds(rows.mapInArrow(run, rows.schema), "grp", 5, 5)
+    assert folds.count() == 60 * 5 and seen.value == 240
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 40)
+    best = thresholds.best_balanced_by(rows.withColumn("part", F.col("id") % 2).mapInArrow(run, rows.schema.add("part", "long")), "part", score="b")
+    assert best.count() == 2 and seen.value == 480
+
+
 def test_what_is_missing_is_an_error(spark, rows):
     folds = splits.repeated_folds(rows, "grp", 1, 2)
     with pytest.raises(Exception, match="missing"):
