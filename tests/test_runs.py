@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import models
-from pairlens.plans import runs
+from pairlens.operators import models, splits
+from pairlens.plans import queries, runs
 
 
 def test_judge_report(spark):
@@ -37,6 +37,23 @@ def test_refit(spark, tmp_path):
     assert out.where("(pred_label = 'match') = (y = 1)").count() > 30
 
 
+def test_scores_are_kept_and_the_same_in_any_order_of_rows(spark):
+    rows = spark.createDataFrame([(f"g{i // 5}", i, int(i * 53 % 10 < 4), (i * 37 % 101) / 101 + (i * 53 % 10 < 4) / 3) for i in range(200)], "g string, id int, y int, x double")
+    trees = models.Candidate("trees", "trees", {"trees": 3, "depth": 2, "step": 0.3, "leaf": 3, "rows": 0.5, "columns": 1.0})
+    out = []
+    for order in (F.col("id"), F.col("id") * 73 % 211):
+        own = rows.repartitionByRange(1, order).sortWithinPartitions(order)
+        oof = models.out_of_fold(own, splits.repeated_folds(own, "g", 1, 2), "g", "id", ["x"], [trees])
+        assert oof.is_cached
+        out.append({r.id: r.p for r in oof.collect()})
+    assert out[0] == out[1] and len(out[0]) == 200
+
+
+def test_only_labelled_texts_are_scored(spark):
+    plan = queries.scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and plan.rindex("regexp_extract_all") < plan.index("Join")
+
+
 def test_provenance_and_promotion(tmp_path):
     (tmp_path / "run" / "model").mkdir(parents=True)
     (tmp_path / "run" / "model" / "part").write_text("m")
