@@ -113,3 +113,27 @@ def test_alike_sets_share_keys_and_others_do_not():
         x, y = keys(a), keys(b)
         both = [k for k in x if k in y]
         assert not any(sum(c == k[0] for c, _ in both) >= x[k] for k in both)
+
+
+def test_a_group_of_alike_texts_is_a_few_blocks(spark):
+    import numpy as np
+
+    from pairlens.operators import audit as a
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        own = list(words)
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            own[k] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts)) + [" ".join(f"w{k}" for k in rng.integers(0, 900, 60)) for _ in range(100)]
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(x & y) / len(x | y) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")
+    got = {(r.left_id, r.right_id): r.jaccard for r in a.near_jaccard(df).collect()}
+    assert got == want and len(want) > 10_000
+    hashed = df.select(F.col("sample_id").alias("rep"), F.transform(F.array_distinct(F.split("text", " ")), lambda x: F.xxhash64(x)).alias("h"))
+    blocks = a._blocks(hashed, 0.8).select("reps").collect()
+    assert sorted(i for b in blocks for i in b.reps) == list(range(len(texts))) and len(blocks) < 150 and max(len(b.reps) for b in blocks) <= a.BLOCK_SETS
