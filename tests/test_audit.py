@@ -137,3 +137,36 @@ def test_a_group_of_alike_texts_is_a_few_blocks(spark):
     hashed = df.select(F.col("sample_id").alias("rep"), F.transform(F.array_distinct(F.split("text", " ")), lambda x: F.xxhash64(x)).alias("h"))
     blocks = a._blocks(hashed, 0.8).select("reps").collect()
     assert sorted(i for b in blocks for i in b.reps) == list(range(len(texts))) and len(blocks) < 150 and max(len(b.reps) for b in blocks) <= a.BLOCK_SETS
+
+
+def test_block_ratio_is_that_of_difflib():
+    import time
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from pairlens.functions import blocks
+
+    r = Random(7)
+    small, blocks.SMALL = blocks.SMALL, 30
+    try:
+        for trial in range(600):
+            letters = ("ab", "abcd", "abcdefgh é😀")[trial % 3]
+            a = [r.choice(letters) for _ in range(r.randint(0, 90))] * r.choice([1, 1, 2])
+            b = [r.choice(letters) for _ in range(r.randint(0, 90))] if trial % 4 == 0 else list(a)
+            for _ in range(r.randint(0, 12)):
+                at = r.randint(0, len(b))
+                b[at : at + r.randint(0, 4)] = [r.choice(letters) for _ in range(r.randint(0, 4))]
+            a, b = "".join(a), "".join(b)
+            want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+            assert blocks.block_ratio(a, b, 0.0) == want, (a, b)
+            assert blocks.block_ratio(a, b, 0.9) == (want if want >= 0.9 else 0.0)
+    finally:
+        blocks.SMALL = small
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    a = [r.choice(words) for _ in range(20_000)]
+    b = list(a)
+    for _ in range(40):
+        b[r.randrange(len(b))] = "new"
+    began = time.time()
+    assert 0.99 < blocks.block_ratio(" ".join(a), " ".join(b), 0.95) < 1 and blocks.block_ratio(" ".join(a), " ".join(sorted(a)), 0.95) == 0
+    assert time.time() - began < 60  # difflib takes far longer
