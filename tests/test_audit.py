@@ -170,3 +170,9 @@ def test_block_ratio_is_that_of_difflib():
     began = time.time()
     assert 0.99 < blocks.block_ratio(" ".join(a), " ".join(b), 0.95) < 1 and blocks.block_ratio(" ".join(a), " ".join(sorted(a)), 0.95) == 0
     assert time.time() - began < 60  # difflib takes far longer
+
+
+def test_near_takes_high_thresholds(spark):
+    words = [f"w{i}" for i in range(1500)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words, "new"])), (2, " ".join(words[:1490])), (3, "a b")], "sample_id long, text string")
+    assert [(r.left_id, r.right_id) for r in audit.near_jaccard(df, least=0.998).collect()] == [(0, 1)]
